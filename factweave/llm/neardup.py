@@ -31,7 +31,7 @@ class WordHashes(dict):
     """64-bit hash by word, forgotten as a whole when too many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         made = self[word] = xxhash.xxh64_intdigest(word)
         return made

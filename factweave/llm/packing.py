@@ -149,6 +149,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, fan_in
         return run
 
     done, level = [], 0
+    pieces = stored(pieces, "pieces")  # else tokenizing and packing workers are alive side by side
     state = stored(pieces.mapInArrow(packer(0), schema + ", tail int"), "packed")
     while True:
         last = state.agg(F.max("tail")).first()[0]
