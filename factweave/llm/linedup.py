@@ -42,9 +42,22 @@ def chosen_windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = np.array([total.argmin()])
     else:
         places = np.unique(sliding_window_view(total, CHOICE).argmin(axis=1) + np.arange(n - CHOICE + 1))
+        if (total[places[1:]] == total[places[:-1]]).any():
+            places = _thinned(places, total)
     return places, total[places]
 
 
+def _thinned(places: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of equal hashes (the text repeats itself), one in every CHOICE neighbouring windows is enough."""
+    kept, last = [], {}
+    values = total[places].tolist()
+    for i, (place, value) in enumerate(zip(places.tolist(), values, strict=True)):
+        if value not in last or i + 1 == len(values) or values[i + 1] != value or places[i + 1] - last[value] > CHOICE:
+            kept.append(place)
+            last[value] = place
+    return np.array(kept)
+
+
 def lines_of(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each line with at least so many words; offsets in code points."""
     out, start = [], 0
@@ -75,59 +88,66 @@ def _units(docs: DataFrame, kind: str, least: int) -> DataFrame:
 
 def _runs(units: DataFrame) -> DataFrame:
     """Stretches of neighbouring windows that an earlier document has at the same distance."""
-    spread = units.select("doc", F.posexplode(F.arrays_zip("places", "hashes")).alias("n", "w")).select("doc", "n", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
-    first = spread.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("last")).where("first.doc < last").select("hash", "first")
-    again = spread.join(first, "hash").where("doc > first.doc").select("doc", "n", "place", F.col("first.doc").alias("source"), F.col("first.place").alias("source_place")).distinct()
-    order = Window.partitionBy("doc").orderBy("n", "place")
-    same = (F.lag("n").over(order) == F.col("n") - 1) & (F.lag("source").over(order) == F.col("source")) & (F.lag(F.col("place") - F.col("source_place")).over(order) == F.col("place") - F.col("source_place"))
+    spread = units.select("doc", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
+    first = spread.groupBy("hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("hash", "source")
+    shared = stored(spread.join(first, "hash"), "repeat-windows")
+    place = shared.where("doc = source").groupBy("hash").agg(F.min("place").alias("source_place"))
+    again = shared.where("doc > source").join(place, "hash").select("doc", "place", "source", "source_place").distinct()
+    order = Window.partitionBy("doc").orderBy("place")
+    shift = F.col("place") - F.col("source_place")
+    same = (F.col("place") - F.lag("place").over(order) <= SPAN) & (F.lag("source").over(order) == F.col("source")) & (F.lag(shift).over(order) == shift)
     marked = again.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("doc", "run").agg(F.min("place").alias("begin"), F.max("place").alias("end"), F.first("source").alias("source"), F.min("source_place").alias("source_begin"))
 
 
 def _contexts(docs: DataFrame, kind: str) -> DataFrame:
-    """For each wanted stretch (begin, end: places of its first and last window) of a document: the hashes and offsets of its words and of SPAN - 1 more on either side."""
+    """For each wanted stretch (begin, end: places of its first and last window) of a document: a digest of its words, the hashes of up to SPAN - 1 words on either side, and the offsets of all these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, wanted in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
                 lower = (text or "").lower()
                 words = word_hashes(text or "")
-                spans = np.array([m.span() for m in _WORD.finditer(lower)], np.int64).reshape(-1, 2)
+                spans = np.array([m.span() for m in _WORD.finditer(lower)], np.int32).reshape(-1, 2)
                 if len(lower) != len(text or ""):  # a letter's lower case is longer: back to the text's own offsets
-                    origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+                    origin = np.repeat(np.arange(len(text), dtype=np.int32), [len(c.lower()) for c in text])
                     if len(origin) == len(lower):
                         spans = np.stack([origin[spans[:, 0]], origin[spans[:, 1] - 1] + 1], axis=1)
                 rows = []
                 for w in wanted:
-                    a, b = max(0, w["begin"] - SPAN + 1), min(len(words), w["end"] + 2 * SPAN - 1)
-                    rows.append((doc, w["begin"], w["end"], a, words[a:b].tobytes(), spans[a:b].tobytes()))
+                    begin, after = w["begin"], w["end"] + SPAN
+                    left, right = max(0, begin - SPAN + 1), min(len(words), after + SPAN - 1)
+                    rows.append((
+                        doc, begin, w["end"], xxhash.xxh3_128_digest(words[begin:after].tobytes()), words[left:begin].tobytes(), words[after:right].tobytes(),
+                        spans[left : begin + 1, 0].tobytes(), spans[after - 1 : right, 1].tobytes() if w["own"] else b"",
+                    ))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["doc", "begin", "end", "at", "words", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [batch.column(0).type, pa.int32(), pa.int32(), *[pa.binary()] * 5], strict=True)], ["doc", "begin", "end", "digest", "left", "right", "starts", "ends"])
+
+    return docs.mapInArrow(run, f"doc {kind}, begin int, end int, digest binary, left binary, right binary, starts binary, ends binary")
+
 
-    return docs.mapInArrow(run, f"doc {kind}, begin int, end int, at long, words binary, spans binary")
+def _agreeing(a: bytes, b: bytes, backwards: bool) -> int:
+    """How many words agree from the stretch outwards."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = (x[::-1], y[::-1]) if backwards else (x, y)
+    size = min(len(x), len(y))
+    differ = np.flatnonzero(x[:size] != y[:size])
+    return int(differ[0]) if len(differ) else size
 
 
 def _stretched(pairs: DataFrame, kind: str) -> DataFrame:
-    """Verifies each stretch word by word and extends it on both sides as far as the words agree."""
+    """Verifies each stretch and extends it on both sides as far as the words agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, begin, end, at, words, spans, source, source_begin, source_at, source_words, source_spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                a, b = np.frombuffer(words, np.uint64), np.frombuffer(source_words, np.uint64)
-                i, j, size = begin - at, source_begin - source_at, end - begin + SPAN
-                if not np.array_equal(a[i : i + size], b[j : j + size]):
-                    continue
-                back = min(i, j)
-                differ = np.flatnonzero(a[i - back : i] != b[j - back : j])
-                back = back - 1 - differ[-1] if len(differ) else back
-                on = min(len(a) - i - size, len(b) - j - size)
-                differ = np.flatnonzero(a[i + size : i + size + on] != b[j + size : j + size + on])
-                on = differ[0] if len(differ) else on
-                own, other = np.frombuffer(spans, np.int64).reshape(-1, 2), np.frombuffer(source_spans, np.int64).reshape(-1, 2)
-                out.append((doc, int(own[i - back, 0]), int(own[i + size + on - 1, 1]), int(size + back + on), source, int(other[j - back, 0]), int(at + i - back)))
+            for doc, begin, end, left, right, starts, ends, source, source_left, source_right, source_starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                back, on = _agreeing(left, source_left, True), _agreeing(right, source_right, False)
+                start, source_start = (int(np.frombuffer(x, np.int32)[-1 - back]) for x in (starts, source_starts))
+                out.append((doc, start, int(np.frombuffer(ends, np.int32)[on]), end - begin + SPAN + back + on, source, source_start, begin - back))
+            types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.int64()]
             if out:
-                types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], ["doc", "start", "end", "n_words", "first_doc", "first_start", "word"])
 
     return pairs.mapInArrow(run, f"doc {kind}, start long, end long, n_words long, first_doc {kind}, first_start long, word long")
@@ -153,12 +173,13 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
     runs = stored(_runs(units), "repeat-runs")
     ends = F.col("source_begin") + F.col("end") - F.col("begin")
-    wanted = runs.select("doc", "begin", "end").union(runs.select("source", "source_begin", ends.cast("int"))).distinct()
-    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias("wanted")), "repeat-wanted")
+    wanted = runs.select("doc", "begin", "end", F.lit(True).alias("own")).union(runs.select("source", "source_begin", ends.cast("int"), F.lit(False)))
+    wanted = wanted.groupBy("doc", "begin", "end").agg(F.bool_or("own").alias("own"))
+    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "own")).alias("wanted")), "repeat-wanted")
     contexts = stored(_contexts(plain.join(wanted, "doc").select("doc", "text", "wanted"), kind), "repeat-contexts").dropDuplicates(["doc", "begin", "end"])
-    source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("at").alias("source_at"), F.col("words").alias("source_words"), F.col("spans").alias("source_spans"))
-    pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"])
-    made = _stretched(pairs.select("doc", "begin", "end", "at", "words", "spans", "source", "source_begin", "source_at", "source_words", "source_spans"), kind)
+    source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("digest").alias("source_digest"), F.col("left").alias("source_left"), F.col("right").alias("source_right"), F.col("starts").alias("source_starts"))
+    pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"]).where("digest = source_digest")
+    made = _stretched(pairs.select("doc", "begin", "end", "left", "right", "starts", "ends", "source", "source_left", "source_right", "source_starts"), kind)
 
     order = Window.partitionBy("doc").orderBy("word", "n_words", "first_doc", "first_start")
     reach = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
