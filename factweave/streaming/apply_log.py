@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factweave.functions.limits import BatchCollision
 
@@ -30,9 +30,9 @@ class AppliedLog:
 
     def read(self, before: int | None = None) -> DataFrame:
         """What has been applied, without micro-batches from ``before`` on."""
-        found = self.spark.read.schema(self.schema.add("epoch", "long") if "epoch" not in self.schema.names else self.schema).parquet(f"{self.folder}/applied") if self._exists() else None
-        if found is None:
+        if not self._exists():
             return self.spark.createDataFrame([], self.schema)
+        found = self.spark.read.schema(StructType([*self.schema, StructField("epoch", LongType())])).parquet(f"{self.folder}/applied")
         return (found if before is None else found.where(F.col("epoch") < before)).drop("epoch")
 
     def _exists(self) -> bool:
