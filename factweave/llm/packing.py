@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from factweave.llm.shared import dropped, for_python, stored
 
 CAPACITY, END = 1024, 2
 #: Open bins of a task, and how many tasks' open bins the next round packs together.
-OPEN, FAN_IN = 256, 16
+OPEN, FAN_IN = 1024, 8
 
 
 class Bins:
@@ -111,18 +112,18 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, fan_in
     """pieces (with ``length``, 1 to ``capacity``) and for each its sequence_id and offset; offsets have no gaps.
 
     Each task packs its rows as they come, online. What its open bins hold at the end, a bounded number of rows,
-    is packed anew with that of ``fan_in`` - 1 other tasks, round by round until one task is left; in these
-    rounds the longest come first. So at most ``most`` sequences of the whole input are left to chance.
+    is packed anew with that of ``fan_in`` - 1 other tasks, round by round until one task is left. That one may
+    open ``fan_in`` times as many bins, enough for all it gets, and takes the longest pieces first.
     """
     for_python(pieces.sparkSession)
     names = pieces.columns
     where = names.index("length")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
-    def packer(level: int):
+    def packer(level: int, final: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = TaskContext.get().partitionId()
-            bins = Bins(capacity, most, level << 57 | part << 34)
+            bins = Bins(capacity, most * (fan_in if final else 1), level << 57 | part << 34)
             kinds = None
 
             def out(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
@@ -136,7 +137,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, fan_in
                     kinds = [f.type for f in batch.schema][: len(names)]
                     yield from zip(*[c.to_pylist() for c in batch.columns[: len(names)]], strict=True)
 
-            for row in sorted(rows_in(), key=lambda r: (-r[where], str(r))) if level else rows_in():
+            def place(row: tuple) -> tuple:
+                told = str(row)
+                return (-row[where] if final else 0, zlib.crc32(told.encode()), told)
+
+            for row in sorted(rows_in(), key=place) if level else rows_in():
                 bins.put(row, row[where])
                 if len(bins.closed) >= 10_000:
                     yield out(bins.closed, False)
@@ -160,7 +165,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, fan_in
         level += 1
         again = state.where("tail is not null").withColumn("tail", F.floor(F.col("tail") / fan_in).cast("int"))
         groups = last // fan_in + 1
-        state = stored(again.repartition(groups, "tail").select(*names).mapInArrow(packer(level), schema + ", tail int"), "packed") if groups > 1 else stored(again.coalesce(1).select(*names).mapInArrow(packer(level), schema + ", tail int"), "packed")
+        again = again.repartition(groups, "tail") if groups > 1 else again.coalesce(1)
+        state = stored(again.select(*names).mapInArrow(packer(level, groups == 1), schema + ", tail int"), "packed")
         if groups == 1:
             done.append(state.drop("tail"))
             break

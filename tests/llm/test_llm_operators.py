@@ -1,0 +1,239 @@
+import base64
+import re
+import zlib
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from factweave.llm import bpe, brown, exact, langid, linedup, media, neardup, packing, pii, queries, urls
+from factweave.llm.shared import components
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+LONG = "word " * 30_000
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, token_ids string, score string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns with clashing names."""
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, LONG, "en", "s", 1), (4, "The same text here, twice over.", "en", "s", 2), (5, "The same  text here,\ntwice over.", "fr", None, 3), (5, "The same  text here,\ntwice over.", "fr", None, 3), (None, "nameless text", "de", "s", 4), (6, "123 !?", None, "s", 5)]
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_bpe_equals_tiktoken():
+    known = bpe.vocabulary(RANKS)
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known.ranks, special_tokens={})
+    signs = "ab  \n\t\r'stlldré日本  \x1c\x8512½²Ⅷ_-=…🙂"
+    draw = np.random.default_rng(1)
+    texts = ["".join(draw.choice(list(signs), draw.integers(0, 40))) for _ in range(3000)] + ["a" * 3000, "-" * 999 + " " * 999 + "x", "", " ", "<|endoftext|> hi"]
+    for text, ids in zip(texts, bpe.encoded(texts, RANKS, public_tokenizers.PATTERN), strict=True):
+        assert ids.tolist() == theirs.encode_ordinary(text), text
+        assert known.decode(ids.tolist()) == text.encode()
+
+
+def test_bpe_rows(odd, none):
+    out = bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(out) == 8 and {bytes(r["decoded"]) for r in out if r["doc_id"] in (1, 2)} == {b""}
+    assert bpe.round_trip(none, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_packing(odd, none):
+    pieces = packing.token_pieces(odd.where("doc_id is null or doc_id <> 5"), public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.packed(pieces.drop("ids")).collect()
+    assert {(r["doc_id"], r["length"]) for r in out if r["doc_id"] in (1, 2)} == {(1, 1), (2, 1)}
+    long = sorted((r for r in out if r["doc_id"] == 3), key=lambda r: r["piece"])
+    assert all(r["length"] == 1024 for r in long[1:]) and [r["start"] for r in long] == [0, *np.cumsum([r["length"] for r in long])[:-1]]
+    for sequence in {r["sequence_id"] for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r["sequence_id"] == sequence), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    assert packing.packed(packing.token_pieces(none, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")).count() == 0
+
+
+def test_best_fit_is_close_to_the_bound(spark):
+    sizes = spark.range(20_000).select("id", (1 + F.pmod(F.xxhash64("id"), F.lit(700))).alias("length"))
+    total, used = packing.packed(sizes, most=64).agg(F.sum("length"), F.count_distinct("sequence_id")).first()
+    assert used <= 1.02 * total / 1024 + 1
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(500)]
+    docs = []
+    for base in range(12):
+        text = list(draw.choice(words, 120))
+        for _ in range(8):
+            edited = list(text)
+            for at in draw.choice(len(edited), draw.integers(0, 7), replace=False):
+                edited[at] = str(draw.choice(words))
+            docs.append(" ".join(edited))
+    docs += ["one two three", "One two, three!", "", "...", "solo"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    sets, root = [neardup.shingles(d) for d in docs], list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if neardup.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+
+
+def test_probability_jaccard_is_estimated():
+    draw = np.random.default_rng(5)
+    keys = neardup.mixed(np.arange(1, 301, dtype=np.uint64))
+    a, b = (keys[:250], draw.integers(1, 6, 250)), (keys[50:], draw.integers(1, 6, 250))
+    x, y = dict(zip(*map(list, a), strict=True)), dict(zip(*map(list, b), strict=True))
+    true = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in {*x, *y}) for i in x if i in y)
+    one, two = neardup.signatures([a, b], 8192)
+    assert abs((one == two).mean() - true) < 0.02
+
+
+def test_near_duplicate_rows(odd, none):
+    out = neardup.classes(odd).collect()
+    assert len(out) == 8 and {(r["doc_id"], r["class_id"]) for r in out} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (6, 6)}
+    assert neardup.classes(none).count() == 0 and neardup.kept_rows(odd).count() == 6
+
+
+def test_exact_rows(odd, none):
+    out = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.classes(odd).collect()}
+    assert out == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 5, 3, False), (5, 5, 3, True), (None, None, 1, True), (6, 6, 1, True)}
+    assert exact.kept_rows(odd).count() == 5 and exact.classes(none).count() == 0
+
+
+def test_surrogates(spark, odd, none):
+    texts = [(1, "Bob.X@Mail5.example.com BOB.X@MAIL5.EXAMPLE.COM 4111 1111 1111 1111 +1 (743) 555-3824 10.0.0.1"), (2, 'Mrs Anna Smith, Mr. Smith; token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" at 10.0.0.1.'), (3, "clean 12.5 text, 300.1.1.1")]
+    got = {r["doc_id"]: r for r in pii.replaced(spark.createDataFrame(texts, "doc_id long, text string"), "key").collect()}
+    one, two = got[1]["text"], got[2]["text"]
+    low, up = one.split()[:2]
+    assert low.upper() == up and low.endswith(".com") and (got[1]["n_entities"], got[2]["n_entities"], got[3]["n_entities"]) == (5, 4, 0)
+    assert re.search(r" \d{4} \d{4} \d{4} \d{4} \+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+$", one) and got[3]["text"] == texts[2][1]
+    assert one.split()[-1] == two.split()[-1][:-1] and not any(x in one + two for x in ("Bob", "4111", "743", "10.0.0.1", "Smith", "24be64"))
+    assert sum((c if i % 2 else c * 2 - 9 * (c > 4)) for i, c in enumerate(map(int, re.sub(r"\D", "", " ".join(one.split()[2:6]))))) % 10 == 0
+    family = re.search(r"Mrs \w+ (\w+), Mr\. (\w+)", two)
+    assert family[1] == family[2]
+    assert pii.replaced(odd, "key").count() == 8 and pii.replaced(none, "key").count() == 0
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    many = spark.range(3000).select(F.lit("email").alias("kind"), F.concat(F.conv(F.col("id"), 10, 36), F.lit("@a.bc")).alias("entity")).select("kind", F.lower("entity").alias("entity"))
+    out = pii.surrogates(many.where("length(entity) = 7"), "key").collect()
+    assert len({r["made"] for r in out}) == len(out) and not {r["made"] for r in out} & {r["entity"] for r in out}
+
+
+def test_lm_scores(spark, odd, none):
+    texts = ["The cat sat.", "the cat RAN", None, "", "zebra cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in brown.scored(df, F.col("doc_id") < 4).collect()}
+    assert [out[i]["n_tokens"] for i in range(5)] == [4, 4, 1, 1, 3] and out[4]["n_known"] == 2 and out[0]["train_tokens"] == 10
+    base = lambda *c: sum(np.log10((x + 1) / (10 + 5 + 1)) for x in c)
+    assert out[4]["base_score"] == pytest.approx(base(0, 2, 4)) and out[2]["base_score"] == pytest.approx(base(4))
+    assert brown.scored(odd, F.lit(True)).count() == 8 and brown.scored(none, F.lit(True)).count() == 0
+
+
+def test_exchange_finds_classes():
+    draw = np.random.default_rng(2)
+    counts = np.zeros((13, 13))
+    for _ in range(4000):  # words 0-2 and 3-11 take turns
+        a, b = draw.integers(0, 3), 3 + draw.integers(0, 9)
+        counts[a, b] += 1
+        counts[b, a] += 1
+    found = brown.exchange(counts, 2)
+    assert len(set(found[:3])) == len(set(found[3:])) == 1 and found[0] != found[3]
+
+
+def test_media(odd, none):
+    for r in media.telephony(odd).collect():
+        payload = bytes(r["payload"])
+        assert media.unwave(bytes(r["media"])) == (media.MULAW, 8000, payload) and len(payload) % 64 == 0 < len(payload)
+        assert len(media.unwave(bytes(r["pcm"]))[2]) == 4 * len(payload)
+    assert media.telephony(none).count() == 0
+    assert media.mulaw_table()[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and media.alaw_table()[[0x2A, 0xAA, 0x55, 0xD5]].tolist() == [-32256, 32256, -8, 8]
+
+
+def test_adpcm_equals_a_plain_decoder():
+    blocks = np.random.default_rng(4).integers(0, 256, (50, 64)).astype(np.uint8)
+    for block, got in zip(blocks, media.adpcm(blocks), strict=True):
+        value, index = int.from_bytes(block[:2].tobytes(), "little", signed=True), min(int(block[2]), 88)
+        out = [value]
+        for code in [c for byte in block[4:].tolist() for c in (byte & 15, byte >> 4)]:
+            step = int(media.STEPS[index])
+            change = step * (2 * (code & 7) + 1) >> 3
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + int(media.MOVES[code])))
+            out.append(value)
+        assert got.tolist() == out
+
+
+def test_urls(spark):
+    link = '<link rel="canonical" href="http://b.example.com/en/1">'
+    pages = [(1, "http://A.org/x#f", link), (2, "http://a.org/x", None), (3, "https://c.net/es/1", ""), (4, None, None), (5, "nothing", "<p>"), (6, "http://d.org/", '<meta http-equiv="refresh" content="0; url=http://a.org/x">'), (6, "http://d.org/", "")]
+    out = urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES).collect()
+    assert sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in out), key=repr) == [
+        (1, "a.org", "/x", None, "block"), (2, "a.org", "/x", None, "block"), (3, "c.net", "/es/1", "net/es/", "block"), (4, "", "", None, "allow"), (5, "", "", None, "allow"), (6, "d.org", "/", None, "block"), (6, "d.org", "/", None, "block"),
+    ]
+
+
+def test_components_equal_union_find(spark):
+    draw = np.random.default_rng(6)
+    edges = [tuple(map(int, e)) for e in draw.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_repeats(spark, odd, none):
+    draw = np.random.default_rng(7)
+    fresh = lambda n: " ".join(f"u{x}" for x in draw.integers(0, 1 << 30, n))
+    passage, line = fresh(60), fresh(25)
+    texts = [f"{fresh(40)} {passage} {fresh(30)}\n{line}", f"{fresh(90)}\n{fresh(9)} {passage} {fresh(70)}", f"{line}\n{fresh(30)}", fresh(200), "Same short line.\nSame short line."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = linedup.repeats(df)
+    got = {(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start"] : r["end"]], r["first_doc_id"]) for r in spans.collect()}
+    assert got == {(1, "passage", passage, 0), (2, "line", line, 0)}
+    assert {r["doc_id"]: r["text"] for r in linedup.cleaned(df, spans).collect()} == {i: t.replace(passage, "") if i == 1 else t.replace(line, "") if i == 2 else t for i, t in enumerate(texts)}
+    assert linedup.repeats(none).count() == 0 and linedup.repeats(odd).count() >= 0
+
+
+def test_language(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.learned(docs, ~held)
+    right = langid.predicted(docs.where(held), model).join(docs.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right >= 0.97
+    out = langid.predicted(odd, model).collect()
+    assert len(out) == 8 and all(0 <= r["score"] <= 1 for r in out) and {r["doc_id"] for r in out if r["lang_pred"] == "und"} == {1, 2, 6}
+    assert langid.predicted(none, model).count() == 0 and langid.learned(none, F.lit(True)) is None
+
+
+def test_contract_columns(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op1_bpe(spark, "/root/testdata/sf0.001").collect():
+        ids = theirs.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(docs[r["doc_id"]].encode()).hexdigest())
+    for r in queries.op6_telephony(spark, "/root/testdata/sf0.001").collect():
+        data = docs[r["doc_id"]].encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
