@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.bpe import slices
@@ -23,6 +23,9 @@ from factweave.llm.shared import components, dropped, for_python, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: 64-bit words of a parity mark.
+MARK = 16
+_MARK_TYPE = f"struct<n: long, total: long, {', '.join(f'm{i}: long' for i in range(MARK))}>"
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -115,18 +118,46 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (x_after / x + y_before / y)).sum()))
 
 
+def parity_marks(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(texts, MARK): bit by bit, whether an odd number of the text's distinct shingles falls on that bit."""
+    bits = 64 * MARK
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    which = np.concatenate([h for h, _ in sets]) if sets else np.zeros(0, np.uint64)
+    counts = np.bincount(owner * bits + (which % np.uint64(bits)).astype(np.int64), minlength=len(sets) * bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(len(sets), MARK)
+
+
+def may_be_near(a: Column, b: Column, threshold: float) -> Column:
+    """False only where the marks (_MARK_TYPE) prove that similarity() is below the threshold.
+
+    The shingles that one text alone has number at least the difference of the counts, and at least the bits in
+    which the parities differ. Plain Jaccard t allows (1 - t) / (1 + t) of the sum of the counts. Probability
+    Jaccard t puts the distance of the normalised weights at 1 - t at most and the weight outside the common
+    shingles at (1 - t) (1 + distance) at most, and no shingle weighs less than one part of the larger total.
+    """
+    apart = F.abs(a["n"] - b["n"])
+    parity = sum((F.bit_count(a[f"m{i}"].bitwiseXOR(b[f"m{i}"])) for i in range(1, MARK)), F.bit_count(a["m0"].bitwiseXOR(b["m0"])))
+    plain = (a["n"] + b["n"]) * ((1 - threshold) / (1 + threshold)) + 1e-3
+    weighted = F.greatest(a["total"], b["total"]) * ((1 - threshold) * (2 - threshold)) + 1e-3
+    most = F.when((a["n"] == a["total"]) & (b["n"] == b["total"]), plain).otherwise(F.greatest(plain, weighted))
+    return (apart <= most) & (parity <= most)
+
+
 def _sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, same, bands): a digest of the weighted shingles, null without words, and the band keys."""
+    """(id, same, bands, mark): a digest of the weighted shingles, null without words, band keys and parity mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
             sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
             keys = band_keys(signatures(sets))
             same = [xxhash.xxh3_128_digest(h.tobytes() + w.tobytes()) if len(h) else None for h, w in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array([k if len(h) else [] for k, (h, _) in zip(keys, sets, strict=True)], pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+            bands = pa.array([k if len(h) else [] for k, (h, _) in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
+            sizes = [pa.array([f(x) for x in sets], pa.int64()) for f in (lambda x: len(x[0]), lambda x: int(x[1].sum()))]
+            mark = pa.StructArray.from_arrays([*sizes, *map(pa.array, np.ascontiguousarray(parity_marks(sets).T))], ["n", "total", *[f"m{i}" for i in range(MARK)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), bands, mark], ["doc_id", "same", "bands", "mark"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, same binary, bands array<long>")
+    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, same binary, bands array<long>, mark {_MARK_TYPE}")
 
 
 def _shingle_sets(docs: DataFrame, kind: str) -> DataFrame:
@@ -158,25 +189,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
 
 
 def _links(entries: DataFrame, sets: DataFrame, threshold: float, kind: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """The verified links, and the components they make, for bucket entries (key, doc, weight).
+    """The verified links, and the components they make, for bucket entries (key, doc, weight, mark).
 
     Round by round each bucket's most popular documents (those whose buckets are the largest) are compared with
     its members of other components; then they leave it. A bucket rests once one component holds it, which for
     copies of one text is after the first round. Four times as many documents are compared in each further
     round, so every bucket comes to rest in a few rounds, and no link is lost that could join two components.
+    The join drops the pairs that marks prove to be no links, so what it gives grows with the links.
     """
     links = labels = tested = None
     heads = 1
     while True:
-        now = entries.withColumn("label", F.col("doc")) if labels is None else entries.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "weight", F.coalesce("root", "doc").alias("label"))
+        now = entries.withColumn("label", F.col("doc")) if labels is None else entries.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "weight", "mark", F.coalesce("root", "doc").alias("label"))
         mixed_up = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         now = stored(now.join(mixed_up, "key"), "near-entries")
         order = Window.partitionBy("key").orderBy(F.col("weight").desc(), "doc")
         chosen = now.withColumn("n", F.row_number().over(order)).where(F.col("n") <= heads)
-        chosen = stored(chosen.select("key", F.col("doc").alias("head"), F.col("label").alias("head_label")), "near-heads")
+        chosen = stored(chosen.select("key", F.col("doc").alias("head"), F.col("label").alias("head_label"), F.col("mark").alias("head_mark")), "near-heads")
         if chosen.isEmpty():
             break
-        pairs = now.join(chosen, "key").where("label <> head_label").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+        pairs = now.join(chosen, "key").where((F.col("label") != F.col("head_label")) & may_be_near(F.col("mark"), F.col("head_mark"), threshold)).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         told = stored(_verified(pairs, sets, threshold, kind), "near-pairs")
@@ -200,12 +232,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     kind = docs.schema[id_column].dataType.simpleString()
     sketches = stored(_sketches(docs, id_column, text_column), "near-sketches")
     named = sketches.where("doc_id is not null and same is not null")
-    texts = stored(named.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies")), "near-texts")
+    texts = stored(named.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("mark", "doc_id").alias("mark"), F.count("*").alias("copies")), "near-texts")
     spread = texts.select("doc", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     entries = stored(spread.join(shared, "key"), "near-buckets")
-    weight = entries.groupBy("doc").agg(F.sum("n").alias("weight"))
-    entries = stored(entries.join(weight, "doc").select("key", "doc", "weight"), "near-entries")
+    weight = entries.groupBy("doc").agg(F.sum("n").alias("weight")).join(texts.select("doc", "mark"), "doc")
+    entries = stored(entries.join(weight, "doc").select("key", "doc", "weight", "mark"), "near-entries")
     wanted = stored(entries.select("doc").distinct(), "near-wanted")
     plain = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     sets = stored(_shingle_sets(plain.join(wanted, "doc", "left_semi"), kind), "near-sets").dropDuplicates(["doc"])

@@ -100,6 +100,25 @@ def test_probability_jaccard_is_estimated():
     assert abs((one == two).mean() - true) < 0.02
 
 
+def test_marks_lose_no_near_duplicates(spark):
+    draw, sets = np.random.default_rng(11), []
+    keys = neardup.mixed(np.arange(1, 4001, dtype=np.uint64))
+    for size in (3, 40, 300, 3000):
+        for heaviest in (1, 2, 9):
+            for edits in (0.02, 0.08, 0.1, 0.11, 0.12, 0.3):
+                have = draw.permutation(keys)
+                gone = int(draw.integers(0, max(2, 2 * edits * size)))
+                one, two = np.sort(have[:size]), np.sort(have[gone : size + int(draw.integers(0, max(2, edits * size)))])
+                if len(two):
+                    sets.append([(h, draw.choice([1, heaviest], len(h), p=[0.9, 0.1])) for h in (one, two)])
+    marks = [[(len(h), int(w.sum()), *map(int, m)) for (h, w), m in zip(pair, neardup.parity_marks(pair), strict=True)] for pair in sets]
+    df = spark.createDataFrame([(i, *m) for i, m in enumerate(marks)], f"i int, a {neardup._MARK_TYPE}, b {neardup._MARK_TYPE}")
+    may = {r["i"]: r["may"] for r in df.select("i", neardup.may_be_near(F.col("a"), F.col("b"), 0.8).alias("may")).collect()}
+    near = [neardup.similarity(*pair) >= 0.8 for pair in sets]
+    assert all(may[i] for i, is_near in enumerate(near) if is_near) and any(near)
+    assert sum(not m for m in may.values()) >= 10
+
+
 def test_near_duplicate_rows(odd, none):
     out = neardup.classes(odd).collect()
     assert len(out) == 8 and {(r["doc_id"], r["class_id"]) for r in out} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (6, 6)}
