@@ -1,6 +1,6 @@
 """Substring deduplication: lines by the hash of their normalised text, and passages within lines.
 
-A unit is a line, normalised to its words in lower case. Passages that repeat within longer lines have no unit of
+A unit is a line, normalised to its words in lower case (without words: to its characters but white space). Passages that repeat within longer lines have no unit of
 their own, so a second kind of unit covers them: 25-word windows, chosen by content (the smallest hash of every 25
 neighbouring windows), of which any repeated stretch of 49 words or more has one at the same place. Digests of both
 kinds are grouped globally, the occurrence with the smallest (id, offset) is kept, and the others are removed.
@@ -59,13 +59,14 @@ def _thinned(places: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def lines_of(text: str, least: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each line with at least so many words; offsets in code points."""
+    """(start, end, words, digest) of each non-blank line with at least so many words; offsets in code points."""
     out, start = [], 0
     for line in text.split("\n"):
-        if len(line) >= 2 * least - 1:
+        if len(line) >= 2 * least - 1 and not line.isspace() and line:
             words = _WORD.findall(line.lower())
             if len(words) >= least:
-                out.append((start, start + len(line), len(words), xxhash.xxh3_128_digest(" ".join(words))))
+                plain = " ".join(words) if words else "\0" + "".join(line.split())
+                out.append((start, start + len(line), len(words), xxhash.xxh3_128_digest(plain)))
         start += len(line) + 1
     return out
 
@@ -157,7 +158,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     """(id, start, end, kind, n_words, first_id, first_start): every stretch to be removed, and what it repeats.
 
     Offsets are code points of the original text, end exclusive. Kind ``line``: a line of at least ``line_words``
-    words whose words an earlier line has, of this document or one with a smaller id. Kind ``passage``: words that
+    words (0: any line that is not blank) whose words an earlier line has, of this document or one with a smaller
+    id; a line without words repeats one with the same characters but white space. Kind ``passage``: words that
     a document with a smaller id has in the same order; touching stretches have at least ``passage_words``
     together. Shorter units stay. Null text counts as empty; rows with a null id are left alone; rows that repeat
     an id are one document; other columns are ignored; no rows give no rows.

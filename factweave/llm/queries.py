@@ -60,7 +60,7 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return linedup.repeats(table(spark, folder, "documents"))
+    return linedup.repeats(table(spark, folder, "documents"), line_words=0)
 
 
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:

@@ -234,6 +234,23 @@ def test_repeats(spark, odd, none):
     assert linedup.repeats(none).count() == 0 and linedup.repeats(odd).count() >= 0
 
 
+def test_every_repeated_line_is_found(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").select("doc_id", "text").collect())
+    first, want = {}, set()
+    for doc, text in docs:
+        start = 0
+        for line in text.split("\n"):
+            unit = tuple(re.findall(r"\w+", line.lower())) or "".join(line.split())
+            if unit and (doc, start) != first.setdefault(unit, (doc, start)):
+                want.add((doc, start, start + len(line), *first[unit]))
+            start += len(line) + 1
+    got = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in queries.op8_repeats(spark, folder).where("kind = 'line'").collect()}
+    assert got == want and len(want) > 50
+    marks = spark.createDataFrame([(0, "* * *\n\n \n***\nYes.\n- yes")], "doc_id long, text string")
+    assert {(r["start"], r["end"], r["n_words"]) for r in linedup.repeats(marks, line_words=0).collect()} == {(9, 12, 0), (18, 23, 1)}
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
