@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.bpe import slices
@@ -75,30 +75,65 @@ def _units(docs: DataFrame, kind: str, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            windows = [chosen_windows(word_hashes(t)) for t in texts]
+            words = [word_hashes(t) for t in texts]
+            sizes, windows = [len(w) for w in words], [chosen_windows(w) for w in words]
             lines = [lines_of(t, least) for t in texts]
             one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("digest", pa.binary())])
             told = [[dict(zip(("start", "end", "words", "digest"), x, strict=True)) for x in doc] for doc in lines]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p for p, _ in windows], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in windows], pa.list_(pa.int64())), pa.array(told, pa.list_(one))],
-                ["doc", "places", "hashes", "lines"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array([p for p, _ in windows], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in windows], pa.list_(pa.int64())), pa.array(told, pa.list_(one))],
+                ["doc", "n", "places", "hashes", "lines"],
             )
 
-    return docs.mapInArrow(run, f"doc {kind}, places array<int>, hashes array<long>, lines array<struct<start:long,end:long,words:long,digest:binary>>")
+    return docs.mapInArrow(run, f"doc {kind}, n int, places array<int>, hashes array<long>, lines array<struct<start:long,end:long,words:long,digest:binary>>")
 
 
-def _runs(units: DataFrame) -> DataFrame:
-    """Stretches of neighbouring windows that an earlier document has at the same distance."""
-    spread = units.select("doc", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
+def _again(units: DataFrame) -> DataFrame:
+    """(doc, place, n, hash, source, source_place, other) for windows that an earlier document has: the smallest such id, its first place, and whether there are more such documents or places. n: words of doc."""
+    spread = units.select("doc", "n", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
     first = spread.groupBy("hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("hash", "source")
     shared = stored(spread.join(first, "hash"), "repeat-windows")
-    place = shared.where("doc = source").groupBy("hash").agg(F.min("place").alias("source_place"))
-    again = shared.where("doc > source").join(place, "hash").select("doc", "place", "source", "source_place").distinct()
+    own, later = F.col("doc") == F.col("source"), F.col("doc") > F.col("source")
+    place = shared.groupBy("hash").agg(F.min(F.when(own, F.col("place"))).alias("source_place"), F.max(F.when(own, F.col("place"))).alias("source_last"), F.min(F.when(later, F.col("doc"))).alias("second"))
+    again = shared.where(later).join(place, "hash").withColumn("other", (F.col("doc") > F.col("second")) | (F.col("source_last") > F.col("source_place")))
+    return again.select("doc", "place", "n", "hash", "source", "source_place", "other").distinct()
+
+
+def _runs(again: DataFrame, width: int) -> DataFrame:
+    """Stretches of neighbouring windows that an earlier document has at the same distance; end: the place of the last SPAN words."""
     order = Window.partitionBy("doc").orderBy("place")
     shift = F.col("place") - F.col("source_place")
     same = (F.col("place") - F.lag("place").over(order) <= SPAN) & (F.lag("source").over(order) == F.col("source")) & (F.lag(shift).over(order) == shift)
     marked = again.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("doc", "run").agg(F.min("place").alias("begin"), F.max("place").alias("end"), F.first("source").alias("source"), F.min("source_place").alias("source_begin"))
+    return marked.groupBy("doc", "run").agg(F.min("place").alias("begin"), (F.max("place") + (width - SPAN)).cast("int").alias("end"), F.first("source").alias("source"), F.min("source_place").alias("source_begin"))
+
+
+def _outside(places: DataFrame, covered: DataFrame, left: Column, right: Column) -> DataFrame:
+    """The places whose words from left to right are not all within one of the covered stretches (doc, low, high), which are apart."""
+    rows = places.withColumns({"_at": left.cast("long"), "_right": right.cast("long"), "_high": F.lit(None).cast("long")})
+    names = [c for c in rows.columns if c not in ("doc", "_at", "_high")]
+    stretches = covered.select("doc", F.col("low").alias("_at"), F.col("high").alias("_high"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names])
+    order = Window.partitionBy("doc").orderBy("_at", F.col("_right").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(stretches).withColumn("_reach", F.max("_high").over(order))
+    return both.where(F.col("_right").isNotNull() & (F.coalesce("_reach", F.lit(0)) < F.col("_right"))).select(*places.columns)
+
+
+def _wide_units(docs: DataFrame, kind: str, width: int) -> DataFrame:
+    """(doc, n, places, hashes) of all windows of width words that hold a SPAN-word window at one of the wanted places."""
+    powers = np.array([pow(0x9E3779B97F4A7C15, width - 1 - k, 1 << 64) for k in range(width)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, wanted in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                words = word_hashes(text or "")
+                places = np.unique(np.array(wanted)[:, None] - np.arange(width - SPAN + 1))
+                places = places[(places >= 0) & (places <= len(words) - width)]
+                total = np.zeros(len(places), np.uint64)
+                for k in range(width):
+                    total += words[places + k] * powers[k]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], batch.column(0).type), pa.array([len(words)], pa.int32()), pa.array([places], pa.list_(pa.int32())), pa.array([mixed(total).view(np.int64)], pa.list_(pa.int64()))], ["doc", "n", "places", "hashes"])
+
+    return docs.mapInArrow(run, f"doc {kind}, n int, places array<int>, hashes array<long>")
 
 
 def _contexts(docs: DataFrame, kind: str) -> DataFrame:
@@ -154,6 +189,28 @@ def _stretched(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.mapInArrow(run, f"doc {kind}, start long, end long, n_words long, first_doc {kind}, first_start long, word long")
 
 
+def _made(runs: DataFrame, plain: DataFrame, kind: str) -> DataFrame:
+    """The verified and extended stretches of the runs."""
+    runs = stored(runs, "repeat-runs")
+    ends = F.col("source_begin") + F.col("end") - F.col("begin")
+    wanted = runs.select("doc", "begin", "end", F.lit(True).alias("own")).union(runs.select("source", "source_begin", ends.cast("int"), F.lit(False)))
+    wanted = wanted.groupBy("doc", "begin", "end").agg(F.bool_or("own").alias("own"))
+    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "own")).alias("wanted")), "repeat-wanted")
+    contexts = stored(_contexts(plain.join(wanted, "doc").select("doc", "text", "wanted"), kind), "repeat-contexts").dropDuplicates(["doc", "begin", "end"])
+    source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("digest").alias("source_digest"), F.col("left").alias("source_left"), F.col("right").alias("source_right"), F.col("starts").alias("source_starts"))
+    pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"]).where("digest = source_digest")
+    return _stretched(pairs.select("doc", "begin", "end", "left", "right", "starts", "ends", "source", "source_left", "source_right", "source_starts"), kind)
+
+
+def _grouped(made: DataFrame) -> DataFrame:
+    """Stretches with the number of their group of touching ones, and the words these have together."""
+    order = Window.partitionBy("doc").orderBy("word", "n_words", "first_doc", "first_start")
+    reach = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    made = made.withColumn("new", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy("doc", "group")
+    return made.withColumn("together", F.max(F.col("word") + F.col("n_words")).over(group) - F.min("word").over(group))
+
+
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", line_words: int = LINE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """(id, start, end, kind, n_words, first_id, first_start): every stretch to be removed, and what it repeats.
 
@@ -173,21 +230,18 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     first = lines.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first < last").select("digest", "first")
     lines = lines.join(first, "digest").where("struct(doc, start) > first").select("doc", "start", "end", F.lit("line").alias("kind"), F.col("words").alias("n_words"), F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")).distinct()
 
-    runs = stored(_runs(units), "repeat-runs")
-    ends = F.col("source_begin") + F.col("end") - F.col("begin")
-    wanted = runs.select("doc", "begin", "end", F.lit(True).alias("own")).union(runs.select("source", "source_begin", ends.cast("int"), F.lit(False)))
-    wanted = wanted.groupBy("doc", "begin", "end").agg(F.bool_or("own").alias("own"))
-    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "own")).alias("wanted")), "repeat-wanted")
-    contexts = stored(_contexts(plain.join(wanted, "doc").select("doc", "text", "wanted"), kind), "repeat-contexts").dropDuplicates(["doc", "begin", "end"])
-    source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("digest").alias("source_digest"), F.col("left").alias("source_left"), F.col("right").alias("source_right"), F.col("starts").alias("source_starts"))
-    pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"]).where("digest = source_digest")
-    made = _stretched(pairs.select("doc", "begin", "end", "left", "right", "starts", "ends", "source", "source_left", "source_right", "source_starts"), kind)
-
-    order = Window.partitionBy("doc").orderBy("word", "n_words", "first_doc", "first_start")
-    reach = F.max(F.col("word") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    made = made.withColumn("new", F.when(F.col("word") <= reach, 0).otherwise(1)).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    group = Window.partitionBy("doc", "group")
-    made = made.withColumn("together", F.max(F.col("word") + F.col("n_words")).over(group) - F.min("word").over(group))
+    again = stored(_again(units), "repeat-again")
+    made = stored(_made(_runs(again, SPAN), plain, kind), "repeat-made")
+    # Where the chosen source's stretch ends and others have the window, all windows of a whole passage get a source of their own.
+    width = max(passage_words, SPAN + CHOICE - 1)
+    covered = stored(_grouped(made).where(F.col("together") >= passage_words).groupBy("doc", "group").agg(F.min("word").alias("low"), F.max(F.col("word") + F.col("n_words")).alias("high")), "repeat-covered")
+    left, right = F.greatest(F.col("place") - (width - SPAN), F.lit(0)), F.least(F.col("place") + width, F.col("n"))
+    open_hashes = stored(_outside(again.where("other"), covered, left, right).select("hash").distinct(), "repeat-open")
+    spread = units.select("doc", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
+    near = spread.join(open_hashes, "hash", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("wanted"))
+    wide = stored(_wide_units(plain.join(stored(near, "repeat-near"), "doc").select("doc", "text", "wanted"), kind, width), "repeat-wide").dropDuplicates(["doc"])
+    further = _outside(_again(wide), covered, F.col("place"), F.col("place") + width)
+    made = _grouped(made.union(_made(_runs(further, width), plain, kind)))
     passages = made.where(F.col("together") >= passage_words).select("doc", "start", "end", F.lit("passage").alias("kind"), "n_words", "first_doc", "first_start").distinct()
     return lines.union(passages).withColumnsRenamed({"doc": id_column, "first_doc": f"first_{id_column}"})
 

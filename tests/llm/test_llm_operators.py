@@ -251,6 +251,26 @@ def test_every_repeated_line_is_found(spark):
     assert {(r["start"], r["end"], r["n_words"]) for r in linedup.repeats(marks, line_words=0).collect()} == {(9, 12, 0), (18, 23, 1)}
 
 
+def test_passages_with_earlier_fragments_are_found(spark):
+    draw = np.random.default_rng(8)
+    fresh = lambda n: [f"u{x}" for x in draw.integers(0, 1 << 30, n)]
+    texts = [[] for _ in range(5)]  # fragment, fragment, passage, passage, a stretch that two sources share
+    for _ in range(40):
+        passage, cut = fresh(60), int(draw.integers(25, 50))
+        other = fresh(50)
+        parts = [passage[:cut], passage[-cut:], passage + other, fresh(5) + passage, passage[20:] + other[:20]]
+        texts = [t + fresh(30) + p for t, p in zip(texts, parts, strict=True)]
+    whole = [" ".join(t) for t in texts]
+    spans = linedup.repeats(spark.createDataFrame(list(enumerate(whole)), "doc_id long, text string")).collect()
+    seen: set[tuple[str, ...]] = set()
+    for doc, words in enumerate(texts):
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        gone = {i for i in range(len(words)) for r in spans if r["doc_id"] == doc and r["start"] <= starts[i] < r["end"]}
+        windows = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        assert not [i for i, w in enumerate(windows) if w in seen and not gone.issuperset(range(i, i + 50))]
+        seen.update(windows)
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
