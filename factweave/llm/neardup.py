@@ -144,12 +144,16 @@ def may_be_near(a: Column, b: Column, threshold: float) -> Column:
 
 
 def _sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, same, bands, mark): a digest of the weighted shingles, null without words, band keys and parity mark."""
+    """(id, same, bands, mark): a digest of the weighted shingles, null without words, band keys (of weighted and plain shingles) and parity mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1_000_000):
             sets = [shingles(t or "") for t in batch.column(1).to_pylist()]
-            keys = band_keys(signatures(sets))
+            keys = list(band_keys(signatures(sets)))
+            # Plain Jaccard: a text that repeats a shingle is also signed with all weights 1, as all others are anyway.
+            again = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+            for i, plain in zip(again, band_keys(signatures([(sets[i][0], np.ones_like(sets[i][1])) for i in again])), strict=True):
+                keys[i] = np.union1d(keys[i], plain)
             same = [xxhash.xxh3_128_digest(h.tobytes() + w.tobytes()) if len(h) else None for h, w in sets]
             bands = pa.array([k if len(h) else [] for k, (h, _) in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
             sizes = [pa.array([f(x) for x in sets], pa.int64()) for f in (lambda x: len(x[0]), lambda x: int(x[1].sum()))]

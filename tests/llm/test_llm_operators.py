@@ -119,6 +119,19 @@ def test_marks_lose_no_near_duplicates(spark):
     assert sum(not m for m in may.values()) >= 10
 
 
+def test_near_duplicates_by_plain_shingles_alone(spark):
+    draw = np.random.default_rng(9)
+    fresh = lambda n: " ".join(f"u{x}" for x in draw.integers(0, 1 << 30, n))
+    texts = []
+    for _ in range(20):
+        text, line = fresh(500), fresh(30)
+        texts += [text, f"{text}\n" + f"{line}\n" * 50]
+    a, b = map(neardup.shingles, texts[:2])
+    assert neardup.similarity(a, b) >= 0.8
+    out = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicate_rows(odd, none):
     out = neardup.classes(odd).collect()
     assert len(out) == 8 and {(r["doc_id"], r["class_id"]) for r in out} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (6, 6)}
