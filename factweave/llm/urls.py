@@ -42,16 +42,44 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its dot segments (RFC 3986, 5.2.4); it starts with ``/`` or is empty."""
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+
+    def step(state: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0)))).when(part == ".", state).otherwise(F.concat(state, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The url that a reference names on the page of the url ``base`` (RFC 3986, 5.2), without its fragment."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    start = F.concat(scheme, F.lit("://"), host_of(base))
+    bare = F.regexp_extract(reference, r"(?s)^[^#]*", 0)
+    path, query = F.regexp_extract(bare, r"(?s)^[^?]*", 0), F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
+    full = F.when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare)).otherwise(bare)
+    origin, rest = F.regexp_extract(full, r"(?s)^[^?]*?://[^/?]*", 0), F.regexp_extract(full, r"(?s)^[^?]*?://[^/?]*([^?]*)", 1)
+    merged = F.concat(F.coalesce(F.nullif(F.regexp_extract(path_of(base), r"(?s)^.*/", 0), F.lit("")), F.lit("/")), path)
+    return (
+        F.when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(origin, _without_dots(rest), query))
+        .when(full.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), full)
+        .when(bare == "", F.regexp_extract(base, r"(?s)^[^#]*", 0))
+        .when(path == "", F.concat(start, path_of(base), query))
+        .otherwise(F.concat(start, _without_dots(F.when(path.startswith("/"), path).otherwise(merged)), query))
+    )
+
+
 def link_edges(pages: DataFrame, url_column: str, html_column: str) -> DataFrame:
-    """(a, b): each page's resource and the one that its canonical link or immediate refresh names."""
+    """(a, b): each page's resource and those that its canonical links and refreshes name; ``<base>`` is not read."""
     url, html = F.col(url_column), F.col(html_column)
     there = pages.where(url.contains("://") & html.rlike(r"(?i)\bcanonical\b|\brefresh\b"))
-    target = F.explode(F.array(F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _META, 0), _GOTO, 1)))
+    links, metas = (F.regexp_extract_all(html, F.lit(p), F.lit(0)) for p in (_LINK, _META))
+    target = F.explode(F.concat(F.transform(links, lambda x: F.regexp_extract(x, _HREF, 1)), F.transform(metas, lambda x: F.regexp_extract(x, _GOTO, 1))))
     found = there.select(url.alias("from"), target.alias("to")).where("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
-    scheme = F.regexp_extract("from", r"(?s)^(.*?)://", 1)
-    to = F.col("to")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("from")), to))
-    return found.select(node_of(F.col("from")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null")
+    return found.select(node_of(F.col("from")).alias("a"), node_of(resolved(F.col("from"), F.col("to"))).alias("b")).where("a is not null and b is not null")
 
 
 def judged(

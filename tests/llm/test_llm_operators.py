@@ -2,6 +2,7 @@ import base64
 import re
 import zlib
 from hashlib import sha256
+from urllib.parse import urldefrag, urljoin
 
 import numpy as np
 import public_tokenizers
@@ -217,6 +218,16 @@ def test_urls(spark):
     ]
 
 
+def test_relative_links_are_resolved(spark):
+    references = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "g?y/../x", "http://h/a/b", "g?u=http://x/y", "mailto:a@b"]
+    cases = [(base, x) for base in ("http://a/b/c/d?q", "http://a", "http://a/b/") for x in references]
+    got = [r[0] for r in spark.createDataFrame(cases, "base string, reference string").select(urls.resolved(F.col("base"), F.col("reference"))).collect()]
+    assert got == [urldefrag(urljoin(*c))[0] for c in cases]
+    assert spark.range(1).select(urls.resolved(F.lit("http://a/b"), F.lit("http://h/a/../b"))).first()[0] == "http://h/b"  # urljoin leaves this
+    pages = [(1, "http://x.org/a/1", '<link rel="canonical" href="#"><link href="../b.html" rel="canonical">'), (2, "http://x.org/b.html", "<meta http-equiv='refresh' content='0; url=?id=1'>"), (3, "http://x.org/b.html?id=1", '<link rel="canonical" href="http://b.example.com/en/1">')]
+    assert {r["verdict"] for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.RULES).collect()} == {"block"}
+
+
 def test_components_equal_union_find(spark):
     draw = np.random.default_rng(6)
     edges = [tuple(map(int, e)) for e in draw.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
