@@ -4,11 +4,17 @@ Words are runs of letters, digits and underscores in lower case; a shingle is fi
 the number of times it occurs. A text of one to four words is one shingle; one without words is like no other.
 Two texts are near duplicates when the probability Jaccard similarity of their weighted shingles, or the plain
 Jaccard similarity of their shingle sets, is at least the threshold. Classes are connected components.
+
+Links are sought in three steps, each on what the one before left apart. First every text is compared with one
+other: the most popular text of all its buckets. Then every bucket's most popular text is compared with the
+members of other components. Last, within each bucket that still holds several components, every text outside
+the bucket's largest component is compared with all texts of other components, so no link between components
+is lost. Buckets are cut into blocks for that, and each pair comes out of one bucket only. In all steps parity
+marks rule out, without loss, most pairs that are no links before their shingles are fetched.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -19,10 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.bpe import slices
-from factweave.llm.shared import components, dropped, for_python, stored
+from factweave.llm.shared import components, for_python, scratch, stored
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Texts of a bucket that meet in one block, on either side.
+BLOCK = 1024
 #: 64-bit words of a parity mark.
 MARK = 16
 _MARK_TYPE = f"struct<n: long, total: long, {', '.join(f'm{i}: long' for i in range(MARK))}>"
@@ -192,73 +200,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
     return joined.mapInArrow(run, f"a {kind}, b {kind}, near boolean")
 
 
-def _links(entries: DataFrame, sets: DataFrame, threshold: float, kind: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """The verified links, and the components they make, for bucket entries (key, doc, weight, mark).
+def _plausible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that their marks do not rule out."""
+    one, two = (marks.select(F.col("doc").alias(c), F.col("mark").alias(f"mark_{c}")) for c in "ab")
+    near = may_be_near(F.col("mark_a"), F.col("mark_b"), threshold)
+    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
 
-    Round by round each bucket's most popular documents (those whose buckets are the largest) are compared with
-    its members of other components; then they leave it. A bucket rests once one component holds it, which for
-    copies of one text is after the first round. Four times as many documents are compared in each further
-    round, so every bucket comes to rest in a few rounds, and no link is lost that could join two components.
-    The join drops the pairs that marks prove to be no links, so what it gives grows with the links.
-    """
-    links = labels = tested = None
-    heads = 1
-    while True:
-        now = entries.withColumn("label", F.col("doc")) if labels is None else entries.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "weight", "mark", F.coalesce("root", "doc").alias("label"))
-        mixed_up = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        now = stored(now.join(mixed_up, "key"), "near-entries")
-        order = Window.partitionBy("key").orderBy(F.col("weight").desc(), "doc")
-        chosen = now.withColumn("n", F.row_number().over(order)).where(F.col("n") <= heads)
-        chosen = stored(chosen.select("key", F.col("doc").alias("head"), F.col("label").alias("head_label"), F.col("mark").alias("head_mark")), "near-heads")
-        if chosen.isEmpty():
-            break
-        pairs = now.join(chosen, "key").where((F.col("label") != F.col("head_label")) & may_be_near(F.col("mark"), F.col("head_mark"), threshold)).select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        told = stored(_verified(pairs, sets, threshold, kind), "near-pairs")
-        links = told.where("near").select("a", "b") if links is None else links.union(told.where("near").select("a", "b"))
-        tested = told.select("a", "b") if tested is None else tested.union(told.select("a", "b"))
-        labels = components(links, "near-components")
-        entries = now.drop("label").join(chosen.select("key", F.col("head").alias("doc")), ["key", "doc"], "left_anti")
-        heads *= 4
-    return links, labels
 
+def _ordered(one: Column, two: Column) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with their component, of buckets that hold more than one; a text without links is its own component."""
+    now = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return stored(now.join(stored(mixed, "near-mixed"), "key"), "near-apart")
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, class_id, n_links, kept) for every row; class_id is the smallest id of the class, and that row is kept.
 
-    n_links counts the row's text's verified near-duplicate links to other texts. Texts with equal weighted
-    shingles are one text from the start, so copies cost no comparisons. Null text counts as empty; rows
-    without words and rows with a null id are alone (class_id is their id); rows that repeat an id are one
-    document; other columns are ignored; no rows give no rows.
+def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The plausible pairs of different components within buckets (key, doc, label), each pair once.
+
+    One text of a pair is outside the bucket's largest component. A bucket of n texts, m of them outside, is cut
+    into n / BLOCK times m / BLOCK blocks, so no task holds a large bucket.
     """
-    for_python(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
-    sketches = stored(_sketches(docs, id_column, text_column), "near-sketches")
-    named = sketches.where("doc_id is not null and same is not null")
-    texts = stored(named.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("mark", "doc_id").alias("mark"), F.count("*").alias("copies")), "near-texts")
+    sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    sizes = stored(sizes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("columns")), "near-sizes")
+    known = now.join(sizes, "key").join(marks, "doc")
+    draw = F.xxhash64("doc")
+    row, column = F.pmod(draw, "rows").cast("int"), F.pmod(draw, "columns").cast("int")
+    one = known.where("label <> major").select("key", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("doc").alias("x"), F.col("label").alias("label_x"), F.col("mark").alias("mark_x"), F.col("bands").alias("bands_x"))
+    two = known.select("key", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), row.alias("row"), F.col("doc").alias("y"), F.col("label").alias("label_y"), (F.col("label") == F.col("major")).alias("is_major"), F.col("mark").alias("mark_y"), F.col("bands").alias("bands_y"))
+    # Both in the smallest bucket that they share: the pair comes from there alone.
+    here = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
+    differ = (F.col("label_x") != F.col("label_y")) & (F.col("is_major") | (F.col("x") < F.col("y")))
+    met = stored(one, "near-one").join(stored(two, "near-two"), ["key", "row", "column"])
+    return met.where(differ & may_be_near(F.col("mark_x"), F.col("mark_y"), threshold) & here).select(*_ordered(F.col("x"), F.col("y")))
+
+
+def _labels(texts: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(node, root) for the texts that have a link; docs: (doc, text), for the shingles of the texts in shared buckets."""
     spread = texts.select("doc", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     entries = stored(spread.join(shared, "key"), "near-buckets")
-    weight = entries.groupBy("doc").agg(F.sum("n").alias("weight")).join(texts.select("doc", "mark"), "doc")
-    entries = stored(entries.join(weight, "doc").select("key", "doc", "weight", "mark"), "near-entries")
-    wanted = stored(entries.select("doc").distinct(), "near-wanted")
-    plain = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
-    sets = stored(_shingle_sets(plain.join(wanted, "doc", "left_semi"), kind), "near-sets").dropDuplicates(["doc"])
-    links, labels = _links(entries, sets, threshold, kind)
-    own = texts.select("same", "doc", "copies")
-    if labels is None:
-        known = own.where("copies > 1").select("same", F.col("doc").alias("class"), F.lit(0).cast("long").alias("links"))
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
-        known = own.join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(degree, "doc", "left").where("copies > 1 or root is not null").select("same", F.coalesce("root", "doc").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    known = stored(known, "near-classes")
-    out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")
-    found = F.coalesce("class", "doc_id")
-    return out.select(F.col("doc_id").alias(id_column), found.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    weight = stored(entries.groupBy("doc").agg(F.sum("n").alias("weight")), "near-weights")
+    entries = stored(entries.join(weight, "doc").select("key", "doc", "weight"), "near-entries")
+    marks = stored(texts.join(weight.select("doc"), "doc", "left_semi").select("doc", "mark", "bands"), "near-marks")
+    sets = stored(_shingle_sets(docs.join(weight.select("doc"), "doc", "left_semi"), kind), "near-sets")
+    if not sets.groupBy("doc").count().where("count > 1").isEmpty():  # ids that repeat
+        sets = stored(sets.dropDuplicates(["doc"]), "near-sets")
+
+    def joined(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+        told = stored(_verified(stored(pairs, "near-pairs"), sets, threshold, kind), "near-told").where("near").select("a", "b")
+        return components(told if labels is None else told.union(labels.where("node <> root").select("node", "root")), "near-components")
+
+    heads = stored(entries.groupBy("key").agg(F.max(F.struct("weight", "doc")).alias("top")), "near-heads")
+    met = entries.join(heads, "key").where(F.col("doc") != F.col("top.doc"))
+    best = met.groupBy("doc").agg(F.max("top").alias("top")).select(*_ordered(F.col("doc"), F.col("top.doc"))).distinct()
+    labels = joined(_plausible(best, marks, threshold), None)
+
+    now = _apart(entries, labels)
+    tops = stored(heads.select("key", F.col("top.doc").alias("doc")).join(now, ["key", "doc"]).select("key", F.col("doc").alias("head"), F.col("label").alias("head_label")), "near-tops")
+    other = now.join(tops, "key").where("label <> head_label").select(*_ordered(F.col("doc"), F.col("head"))).distinct()
+    labels = joined(_plausible(other, marks, threshold), labels)
+    return joined(_block_pairs(_apart(now.select("key", "doc"), labels), marks, threshold), labels)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, class_id, kept) for every row; class_id is the smallest id of the class, and that row is kept.
+
+    Texts with equal weighted shingles are one text from the start, so copies cost no comparisons. Null text counts
+    as empty; rows without words and rows with a null id are alone (class_id is their id); rows that repeat an id
+    are one document; other columns are ignored; no rows give no rows.
+    """
+    spark = docs.sparkSession
+    for_python(spark)
+    kind = docs.schema[id_column].dataType.simpleString()
+    with scratch(spark) as result:
+        sketches = stored(_sketches(docs, id_column, text_column), "near-sketches")
+        named = sketches.where("doc_id is not null and same is not null")
+        texts = stored(named.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("mark", "doc_id").alias("mark"), F.count("*").alias("copies")), "near-texts")
+        labels = _labels(texts, docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")), threshold, kind)
+        known = texts.select("same", "doc", "copies").join(labels.withColumnRenamed("node", "doc"), "doc", "left").where("copies > 1 or root is not null")
+        known = stored(known.select("same", F.coalesce("root", "doc").alias("class")), "near-classes")
+        out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")
+        found = F.coalesce("class", "doc_id")
+        return result(out.select(F.col("doc_id").alias(id_column), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "near-result")
 
 
 def kept_rows(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay: one document of each class, with all its columns."""
-    gone = stored(classes(docs, threshold, id_column, text_column).where("not kept").select(F.col(id_column)).distinct(), "near-gone")
-    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    """The rows of docs that stay: one document of each class, with all its columns (rows that repeat its id too).
+
+    The texts are dealt by id once, at every size, and met there by the ids that go.
+    """
+    with scratch(docs.sparkSession) as result:
+        gone = result(classes(docs, threshold, id_column, text_column).where("not kept").select(F.col(id_column)).distinct(), "near-gone")
+    return docs.join(gone.hint("merge"), id_column, "left_anti").select(*docs.columns)

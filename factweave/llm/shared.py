@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,21 +31,49 @@ def scratch_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+#: Folders that stored() wrote within each scratch() that is open, innermost last.
+_written: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: computed once, and safe when executors are lost."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that stores an operator's result; all else that stored() wrote inside goes on leaving."""
+    kept: list[str] = []
+
+    def result(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.append(_written[-1].pop())
+        return out
+
+    _written.append([])
+    try:
+        yield result
+    finally:
+        for path in _written.pop():
+            _delete(spark, path)
+        if _written:
+            _written[-1] += kept
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing needs it."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def for_python(spark: SparkSession) -> None:
