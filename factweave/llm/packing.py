@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,34 +66,73 @@ class Bins:
         return held
 
 
+#: Chunks of these characters alone, on whose classes all Unicode tables agree, may go to the faster library.
+_COMMON = re.compile("[\n\r\t -~\u00a1-\u024f]*")
+#: The split that ByteLevel stands for.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level token stands for: printable ones themselves, then the others in order from U+0100."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _merger(path: str):
+    """tiktoken's encoder of the file's merges, if its tokens are numbered in the order of merges; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    model, before = known["model"], known["pre_tokenizer"]
+    if model.get("type") != "BPE" or model.get("ignore_merges") or known.get("normalizer") or (before or {}).get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    special = {t["content"] for t in known["added_tokens"]}
+    of, vocab = _byte_of(), {t: i for t, i in model["vocab"].items() if t not in special}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if len(vocab) != len(made) + 256 or made != sorted(set(made)) or min(made, default=256) < 256:
+        return None
+    return tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks={bytes(of[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+
+
 @functools.cache
 def _encoder(path: str) -> Memo:
+    """Ids as the tokenizers library gives them. Its merges are run by tiktoken, which is faster, for common chunks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(path)
     known.encode_special_tokens = True  # their strings in a text are ordinary text
+    fast = _merger(path)
 
     lengths = np.zeros(known.get_vocab_size(), np.int64)  # bytes; a token is spelled with one character for each
     for token, rank in known.get_vocab().items():
         lengths[rank] = len(token)
 
-    def encode(names: list[str]) -> list[bytes]:
+    def together(names: list[str], encode: Callable[[str], list[int]]) -> list[bytes]:
         # Chunks with a space before and none at the end split where they meet, so many are encoded as one text.
-        plain = [i for i, n in enumerate(names) if n[:1] == " " and not n[-1].isspace()]
-        other = sorted(set(range(len(names))).difference(plain))
-        out = [b""] * len(names)
-        for i, e in zip(other, known.encode_batch_fast([names[i] for i in other], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for run, e in zip(runs, known.encode_batch_fast(["".join([names[i] for i in r]) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(names[i].encode()) for i in run])) + 1
+        out = []
+        for at in range(0, len(names), 256):
+            run = names[at : at + 256]
+            ids = np.array(encode("".join(run)), "<u4")
+            ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(n.encode()) for n in run])) + 1
             told, begin = ids.tobytes(), 0
-            for i, end in zip(run, (4 * ends).tolist(), strict=True):
-                out[i], begin = told[begin:end], end
+            for end in (4 * ends).tolist():
+                out.append(told[begin:end])
+                begin = end
         return out
 
+    def encode(names: list[str]) -> list[bytes]:
+        common, plain, other = [], [], []
+        for n in names:
+            joins = n[:1] == " " and not n[-1].isspace()
+            (other if not joins else common if fast and _COMMON.fullmatch(n) else plain).append(n)
+        made = dict(zip(other, [np.array(e.ids, "<u4").tobytes() for e in known.encode_batch_fast(other, add_special_tokens=False)], strict=True))
+        made |= zip(plain, together(plain, lambda t: known.encode(t, add_special_tokens=False).ids), strict=True)
+        made |= zip(common, together(common, fast.encode_ordinary if fast else list), strict=True)
+        return [made[n] for n in names]
+
     return Memo(encode)
 
 
@@ -99,7 +140,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     """(id, piece, start, length, ids binary): every text's tokens and the end id, cut only if over ``capacity``.
 
     All pieces of a cut text but the first are full, so it needs as few as can be. ids are unsigned 32-bit
-    little-endian. Null text counts as empty: its one token is the end id. Nothing is shuffled.
+    little-endian. Null text counts as empty: its one token is the end id. Document ids may be null or repeat, and
+    are only carried along; other columns are ignored; no rows give no rows. Nothing is shuffled.
     """
     for_python(docs.sparkSession)
     last = np.array([end], "<u4").tobytes()
