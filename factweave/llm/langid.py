@@ -7,7 +7,6 @@ Nystroem features over landmark windows feed a ridge regression for each languag
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,28 +69,48 @@ class Model:
         return [(self.languages[b], float(v[b] / t) if t else 0.0) for b, v, t in zip(best, values, total, strict=True)]
 
 
-def fit(windows: np.ndarray, labels: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
-    """Kernel ridge regression, each language against the rest, on Nystroem features of evenly spaced landmarks."""
-    languages = sorted(set(labels))
-    order = np.lexsort((np.arange(len(labels)), np.array(labels)))
-    marks = windows[order[np.unique(np.linspace(0, len(order) - 1, min(landmarks, len(order))).astype(int))]]
+#: Windows that fit() holds unpacked at a time.
+CHUNK = 1024
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """Features of windows from their packed presence bits."""
+    seen = np.unpackbits(bits, axis=1, count=WIDTH).astype(np.float32)
+    for block in np.split(seen, ENDS, axis=1):
+        block /= np.sqrt(np.maximum(block.sum(axis=1, keepdims=True), 1))
+    return seen
+
+
+def fit(bits: np.ndarray, labels: list[str], shares: np.ndarray | None = None, landmarks: int = 256, ridge: float = 1e-2) -> Model:
+    """Kernel ridge regression, each language against the rest, on Nystroem features of evenly spaced landmarks.
+
+    ``bits`` are the windows' packed presence bits, ``shares`` each window's weight (all windows of a text together
+    have 1). Only CHUNK windows are unpacked at a time.
+    """
+    languages, n = sorted(set(labels)), len(labels)
+    shares = np.ones(n) if shares is None else shares
+    order = np.lexsort((np.arange(n), np.array(labels)))
+    marks = unpacked(bits[order[np.unique(np.linspace(0, n - 1, min(landmarks, n)).astype(int))]])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     to_features = marks.T.astype(np.float64) @ (vector[:, good] / np.sqrt(value[good]))
-    features = windows.astype(np.float64) @ to_features
+    narrow = to_features.astype(np.float32)
+    features = np.concatenate([(unpacked(bits[at : at + CHUNK]) @ narrow).astype(np.float64) for at in range(0, n, CHUNK)])
     targets = np.array([[x == y for y in languages] for x in labels], np.float64)
-    weight = np.sqrt(len(labels) / (len(languages) * targets.sum(axis=0)))[targets.argmax(axis=1)][:, None]
+    weight = shares * (shares.sum() / (len(languages) * (targets * shares[:, None]).sum(axis=0)))[targets.argmax(axis=1)]
+    weight = np.sqrt(weight)[:, None]
     mean, aim = (features * weight**2).sum(0) / (weight**2).sum(), (targets * weight**2).sum(0) / (weight**2).sum()
     x, y = (features - mean) * weight, (targets - aim) * weight
-    beta = np.linalg.solve(x.T @ x + ridge * len(labels) * np.eye(x.shape[1]), x.T @ y)
+    beta = np.linalg.solve(x.T @ x + ridge * shares.sum() * np.eye(x.shape[1]), x.T @ y)
     return Model(languages, (to_features @ beta).astype(np.float32), aim - mean @ beta)
 
 
 def learned(docs: DataFrame, training: Column, per_language: int = 600, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> Model | None:
     """A model from about ``per_language`` labelled rows of each language, chosen by a hash of their ids.
 
-    Each gives one window of its text, which the executors turn into presence bits, so the driver gets at most
-    about 500 bytes a row. None if no row has a label and a letter.
+    All windows of a chosen row's text count, each with an equal share of the row. The executors turn windows into
+    packed presence bits, so the driver gets about 500 bytes for each 1,024 characters of the chosen rows. None
+    if no row has a label and a letter.
     """
     for_python(docs.sparkSession)
     rows = docs.where(training & F.col(language_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
@@ -107,18 +126,19 @@ def learned(docs: DataFrame, training: Column, per_language: int = 600, id_colum
             texts = batch.column(1).to_pylist()
             for at in range(0, len(texts), 64):
                 seen, owner = presence(texts[at : at + 64])
-                pick = np.searchsorted(owner, np.arange(owner[-1] + 1))
-                sizes = np.bincount(owner)
-                pick += np.array([zlib.crc32(str(i).encode()) % s for i, s in zip(batch.column(2).to_pylist()[at : at + 64], sizes, strict=True)], int)
-                bits = np.packbits(seen[pick] > 0, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 64], pa.array([b.tobytes() for b in bits], pa.binary()), batch.column(2)[at : at + 64]], ["lang", "bits", "key"])
+                bits = np.packbits(seen > 0, axis=1)
+                rows = pa.array(owner + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(1 / np.bincount(owner)[owner]), batch.column(2).take(rows)], ["lang", "bits", "share", "key"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    got = sorted(chosen.mapInArrow(run, f"lang string, bits binary, key {kind}").collect(), key=lambda r: (r["lang"], str(r["key"]), r["bits"]))
-    seen = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1, count=WIDTH).astype(np.float32)
-    for block in np.split(seen, ENDS, axis=1):
-        block /= np.sqrt(np.maximum(block.sum(axis=1, keepdims=True), 1))
-    return fit(seen, [r["lang"] for r in got])
+    got = sorted(chosen.mapInArrow(run, f"lang string, bits binary, share double, key {kind}").collect(), key=lambda r: (r["lang"], str(r["key"]), r["bits"]))
+    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in got])
+    return fit(bits, [r["lang"] for r in got], np.array([r["share"] for r in got]))
+
+
+def least_score(model: Model) -> float:
+    """A little over what a text without any known n-gram scores: each language's equal share."""
+    return 1.1 / len(model.languages)
 
 
 def labelled(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:
