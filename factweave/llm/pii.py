@@ -1,11 +1,14 @@
 """Personal data replaced by keyed surrogates of the same kind, in DataFrame operations alone.
 
 Digits become digits and letters letters of the same script and case; separators, country codes, e-mail
-endings, titles and a valid check digit stay. Within a format the replacement is a keyed bijection (each
-character is shifted by a hash of the key and all characters before it, from both ends), so different
-entities get different surrogates; names are rebuilt from syllables with an ending that suits the title's gender. A
-check over all distinct entities finds surrogates that coincide with each other or with an entity of the corpus and
-draws those again until none is left. The same entity has the same surrogate in every document.
+endings, titles, name particles stay, and check digits that are valid stay valid. Within a format the replacement
+is a keyed bijection (each character is shifted by a hash of the key and all characters before it, from both ends),
+so different entities get different surrogates. Names are found behind a title; each part of a name is an entity of
+its own, whatever its title, its case and its place, and further mentions of such a part in the same document, without a
+title, are replaced too. Parts are rebuilt from syllables, with an ending that suits the gender of the titles under
+which they are given names. A check over all distinct entities finds surrogates that coincide with each other or with
+an entity of the corpus and draws those again, in an ever larger space, until none is left. The same entity has the
+same surrogate in every document. Names that no title precedes anywhere in their document are out of scope.
 """
 
 from __future__ import annotations
@@ -13,11 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.shared import dropped, stored
+from factweave.llm.shared import dropped, scratch, stored
 
 #: Patterns by kind; the first that fits at a place counts.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_MALE, _FEMALE = r"Mr|Herr|Monsieur|M|Señor|Sr|Don|г-н|господин|κύριος", r"Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña|г-жа|госпожа|κυρία"
+_MALE = r"Mr|MR|Mister|Herrn?|HERR|Monsieur|M|Señor|Sr|SR|Don|Sir|г-н|господин|κύριος"
+_FEMALE = r"Mrs|MRS|Ms|MS|Miss|Frau|FRAU|Madame|Mme|MME|Mlle|Señorita|Señora|Srta|Sra|SRA|Doña|г-жа|госпожа|κυρία"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|Mx|Dr|DR|Doctor|Prof|Professor|Rev)\.?"
+#: A part of a name (an initial among them), what may stand before one, and the entities within parts.
+_PART = r"\p{Lu}(?:\.(?= )|[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*)"
+_PARTICLES = r"(?:(?:van|von|vom|zu|de|der|den|del|della|di|da|dos|du|la|le|bin|al) )*"
+_TOKEN = r"(?:\p{Lu}|(?<=-)\p{L})[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*"
 KINDS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_+%-]+(?:\.[A-Za-z0-9_+%-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,100})(?![A-Za-z0-9])",
@@ -26,11 +35,13 @@ KINDS = {
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|[.-]\d)",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])(?:\d{2,4}[ .-]?){1,3}\d{2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\+\d{10,14})(?!\w|[.-]\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?!\w|[.-]\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE} )+{_PARTICLES}{_PART}(?: {_PARTICLES}{_PART})*(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of this hold nothing that the patterns fit.
-_HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}|[A-Fa-f]{{32}}|(?:sk|pk|gh[po]|xox[bp])[-_]"
+_HINT = rf"[0-9@]|(?<![\p{{L}}\p{{N}}]){_TITLE} |[A-Fa-f]{{32}}|AKIA|ASIA|(?:sk|pk|gh[po]|xox[bp])[-_]"
+#: Least letters of a name's part for which mentions without a title are sought.
+MENTION = 3
 
 # First and last code points of the alphabets whose letters stand for one another.
 ALPHABETS = [(48, 57), (97, 122), (65, 90), (0x430, 0x44F), (0x410, 0x42F), (0x3B1, 0x3C1), (0x3C3, 0x3C9), (0x391, 0x3A1), (0x3A3, 0x3A9)]
@@ -97,28 +108,48 @@ def _octets(text: Column, salt: Column) -> Column:
     return F.array_join(F.aggregate(F.split(text, r"\."), F.struct(empty.alias("seen"), empty.alias("out")), step, lambda s: s["out"]), ".")
 
 
-def _word(salt: Column, script: Column, female: Column) -> Column:
+def _word(salt: Column, script: Column, gender: Column, syllables: int) -> Column:
+    """An invented name; gender: m, f, or anything else for an ending of either kind."""
     out = F.lit(None).cast("string")
     for name, (consonants, vowels, male_ends, female_ends) in NAMES.items():
-        drawn = _hash(salt, F.lit(name))
 
-        def pick(signs, divisor: int, drawn: Column = drawn) -> Column:
-            return F.element_at(F.array(*map(F.lit, signs)), (F.floor(drawn / divisor) % len(signs) + 1).cast("int"))
+        def pick(signs, place: int, name: str = name) -> Column:
+            return F.element_at(F.array(*map(F.lit, signs)), (_hash(salt, F.lit(f"{name}{place}")) % len(signs) + 1).cast("int"))
 
-        parts = [pick(consonants, 1), pick(vowels, 16), pick(consonants, 128), pick(vowels, 2048), pick(consonants, 16384), pick(vowels, 1 << 18)]
-        end = F.when(female, pick(female_ends, 1 << 22)).otherwise(pick(male_ends, 1 << 22))
+        parts = [pick(signs, 2 * k + j) for k in range(syllables) for j, signs in enumerate((consonants, vowels))]
+        end = F.when(gender == "f", pick(female_ends, -1)).when(gender == "m", pick(male_ends, -1)).otherwise(pick((*male_ends, *female_ends), -1))
         out = F.when(script == name, F.initcap(F.concat(*parts, end))).otherwise(out)
     return out
 
 
-def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The replacement of a normalised entity."""
-    salt = F.concat_ws("\x1e", F.lit(key), kind, attempt.cast("string"))
+def _remainder97(text: Column) -> Column:
+    """The number that an IBAN's characters spell (A is 10, Z is 35), modulo 97."""
+
+    def step(state: Column, char: Column) -> Column:
+        value = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), char) - 1
+        return (state * F.when(value < 10, 10).otherwise(100) + value) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(entity: Column, salt: Column) -> Column:
+    no = F.lit(False)
+    country, account = entity.substr(1, 2), entity.substr(F.lit(5), F.length(entity))
+    valid = _remainder97(F.concat(account, entity.substr(1, 4))) == 1
+    moved = _scrambled(account, F.concat(salt, country), no)
+    digits = F.lpad((98 - _remainder97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(valid, F.concat(country, digits, moved)).otherwise(F.concat(country, _scrambled(entity.substr(F.lit(3), F.length(entity)), salt, no)))
+
+
+def surrogate(entity: Column, kind: Column, gender: Column, key: str, attempt: int) -> Column:
+    """The replacement of a normalised entity; every attempt draws anew, names and e-mails from a larger space."""
+    salt = F.concat_ws("\x1e", F.lit(key), kind, F.lit(str(attempt)))
     no = F.lit(False)
     digits = F.regexp_replace(entity, r"\D", "")
     local, domain = F.regexp_extract(entity, "^(.*)@", 1), F.regexp_extract(entity, "@(.*)$", 1)
     host, ending = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1), F.regexp_extract(domain, r"(\.[^.]*)$", 1)
-    email = F.concat(_scrambled(local, F.concat_ws("@", salt, domain), no), F.lit("@"), _scrambled(host, F.concat_ws("@", F.lit(key), F.lit("host"), ending), no), ending)
+    more = F.translate(F.substring(F.sha2(F.concat_ws("\x1f", salt, entity).cast("binary"), 256), 1, max(0, attempt - 3)), "0123456789", "ghijklmnop")
+    email = F.concat(_scrambled(local, F.concat_ws("@", salt, domain), no), more, F.lit("@"), _scrambled(host, F.concat_ws("@", F.lit(key), F.lit("host"), ending), no), ending)
     prefix = F.regexp_extract(entity, r"^(AKIA|ASIA|(?:sk|pk|ghp|gho|xox[bp])[-_]|)", 1)
     is_hex = entity.rlike("^[0-9a-f]+$")
     secret = F.concat(prefix, _scrambled(entity.substr(F.length(prefix) + 1, F.length(entity)), salt, is_hex))
@@ -128,24 +159,22 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     card = F.when(valid, F.concat(moved_head, _luhn(moved_head))).otherwise(_scrambled(digits, salt, no))
     country = F.regexp_extract(entity, r"^(\+\d{1,3})[ .(-]", 1)
     phone = F.concat(country, _scrambled(entity.substr(F.length(country) + 1, F.length(entity)), F.concat(salt, country), no))
-    iban = F.concat(entity.substr(1, 2), _scrambled(entity.substr(F.lit(3), F.length(entity)), salt, no))
     ip = F.array_join(F.reverse(F.split(_octets(F.array_join(F.reverse(F.split(_octets(entity, F.concat(salt, F.lit("1"))), r"\.")), "."), F.concat(salt, F.lit("2"))), r"\.")), ".")
-    title = F.regexp_extract(entity, r"^(\S+) ", 1)
-    rest = F.regexp_extract(entity, r"^\S+ (.*)$", 1)
-    female = title.rlike(rf"^(?:{_FEMALE})\.?$")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    several = rest.contains(" ")
-    given, family = F.regexp_extract(rest, r"^(\S+)", 1), F.regexp_extract(rest, r"(\S+)$", 1)
-    last = _word(F.concat_ws("/", salt, F.lit("family"), family), script, no)
-    name = F.concat(title, F.lit(" "), F.when(several, F.concat(_word(F.concat_ws("/", salt, F.lit("given"), given), script, female), F.lit(" "))).otherwise(""), last)
-    ssn = _scrambled(entity, salt, no)
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "ip", ip).when(kind == "name", name).otherwise(ssn)
+    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    shape = F.regexp_extract(entity, r"^(\p{L}['’]|)", 1)  # O'Brien stays an O'
+    part = F.concat(F.initcap(shape), _word(F.concat_ws("/", salt, entity), script, gender, min(3 + attempt, 10)))
+    plain = _scrambled(entity, salt, no)
+    out = plain
+    for name, made in {"email": email, "secret": secret, "card": card, "phone": phone, "iban": _iban(entity, salt), "ip": ip, "part": part}.items():
+        out = F.when(kind == name, made).otherwise(out)
+    return out
 
 
 def normalised(raw: Column, kind: Column) -> Column:
-    """What makes two spellings one entity: e-mails and hexadecimal secrets in lower case, cards without separators."""
+    """What makes two spellings one entity: all but case in e-mails, hexadecimal secrets and names, cards without separators."""
     hexadecimal = raw.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return F.when((kind == "email") | (kind == "secret") & hexadecimal, F.lower(raw)).when(kind == "card", F.regexp_replace(raw, r"\D", "")).when(kind == "iban", F.replace(raw, F.lit(" "))).otherwise(raw)
+    folded = kind.isin("email", "part", "initial") | (kind == "secret") & hexadecimal
+    return F.when(folded, F.lower(raw)).when(kind == "card", F.regexp_replace(raw, r"\D", "")).when(kind == "iban", F.replace(raw, F.lit(" "))).otherwise(raw)
 
 
 def _dressed(made: Column, raw: Column, kind: Column) -> Column:
@@ -158,48 +187,101 @@ def _dressed(made: Column, raw: Column, kind: Column) -> Column:
         return F.struct(F.concat(state["out"], F.when(sign, made.substr(state["at"], F.lit(1))).otherwise(char)).alias("out"), (state["at"] + sign.cast("int")).alias("at"))
 
     split_up = F.aggregate(F.split(raw, ""), place, step, lambda s: s["out"])
-    return F.when(kind.isin("card", "iban"), split_up).when(kind.isin("email", "secret"), cased).otherwise(made)
+    shouted = F.when((raw == F.upper(raw)) & (F.length(raw) > 1), F.upper(made)).when(raw == F.lower(raw), F.lower(made)).otherwise(made)
+    return F.when(kind.isin("card", "iban"), split_up).when(kind.isin("email", "secret"), cased).when(kind == "part", shouted).when(kind == "initial", F.upper(made)).otherwise(made)
+
 
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, made) for distinct (kind, entity, gender): different for different entities, and no entity itself.
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """(kind, entity, made) for distinct (kind, entity): different for different entities, and no entity itself."""
+    Surrogates that clash are drawn again, round by round, until there are none. An initial stands for too few
+    letters for that; it is a letter moved by the key.
+    """
     keys = ["kind", "entity"]
-    state = stored(entities.select(*keys, surrogate(F.col("entity"), F.col("kind"), key, F.lit(0)).alias("made")), "pii-surrogates")
-    for attempt in range(1, rounds + 1):
-        twice = state.groupBy("kind", "made").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
-        bad = state.join(twice, ["kind", "made"]).where("entity <> first").select(*keys)
-        taken = state.select("kind", F.col("made").alias("entity")).join(state.select(*keys), keys, "left_semi").distinct()
-        bad = stored(bad.union(state.join(taken.withColumnRenamed("entity", "made"), ["kind", "made"], "left_semi").select(*keys)).distinct(), "pii-collisions")
+    entities = stored(entities.select(*keys, "gender"), "pii-entities")
+
+    def drawn(rows: DataFrame, attempt: int) -> DataFrame:
+        return rows.select(*keys, "gender", surrogate(F.col("entity"), F.col("kind"), F.col("gender"), key, attempt).alias("made"))
+
+    state, attempt = stored(drawn(entities, 0), "pii-surrogates"), 0
+    while True:
+        attempt += 1
+        # An entity's own case and spacing may differ from its surrogate's; what counts is the normalised form.
+        named = state.where("kind <> 'initial'").select(*keys, normalised(F.col("made"), F.col("kind")).alias("form"))
+        twice = named.groupBy("kind", "form").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "form", "first")
+        bad = named.join(stored(twice, "pii-twice"), ["kind", "form"]).where("entity <> first").select(*keys)
+        bad = stored(bad.union(named.join(entities.select("kind", F.col("entity").alias("form")), ["kind", "form"], "left_semi").select(*keys)).distinct(), "pii-collisions")
         if bad.isEmpty():
-            dropped(bad) if bad.inputFiles() else None
-            return state
-        again = bad.select(*keys, surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt)).alias("made"))
+            return state.select(*keys, "made")
+        again = drawn(state.join(bad, keys, "left_semi"), attempt)
         before, state = state, stored(state.join(bad, keys, "left_anti").unionByName(again), "pii-surrogates")
         dropped(before)
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
+
+
+def _untitled(name: Column) -> Column:
+    return F.regexp_extract(name, rf"^(?:{_TITLE} )+(.*)$", 1)
+
+
+def _pattern_and_entities(text: Column) -> tuple[Column, Column]:
+    """The pattern for a row's text and all that it finds there: its names' parts are sought without a title too."""
+    first = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
+    names = F.filter(first, lambda x: x.rlike(rf"^{_TITLE} "))
+    parts = F.array_distinct(F.flatten(F.transform(names, lambda x: F.regexp_extract_all(_untitled(x), F.lit(f"({_TOKEN})"), F.lit(1)))))
+    parts = F.array_sort(F.filter(parts, lambda x: F.length(x) >= MENTION))
+    forms = F.array_join(F.concat(parts, F.transform(parts, F.upper)), "|")
+    pattern = F.when(F.size(parts) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), forms, F.lit(r")(?![\p{L}\p{N}])")))
+    return pattern, F.when(pattern.isNotNull(), F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))).otherwise(first)
+
+
+def _units(raw: Column, kind: Column) -> Column:
+    """What is replaced within an occurrence: structs of kind, the text, the gender it tells, and what stands around it."""
+    title = F.regexp_extract(raw, rf"^((?:{_TITLE} )+)", 1)
+    rest = F.when(title != "", raw.substr(F.length(title) + 1, F.length(raw))).otherwise(raw)
+    gender = F.when(title.rlike(rf"(?:^| )(?:{_FEMALE})\.? "), "f").when(title.rlike(rf"(?:^| )(?:{_MALE})\.? "), "m")
+    parts, between = F.regexp_extract_all(rest, F.lit(f"({_TOKEN})"), F.lit(1)), F.split(rest, _TOKEN, -1)
+
+    def unit(part: Column, at: Column) -> Column:
+        last = at == F.size(parts) - 1
+        return F.struct(
+            F.when(F.length(part) == 1, "initial").otherwise("part").alias("kind"), part.alias("raw"), F.when(~last, gender).alias("gender"),
+            F.concat(F.when(at == 0, title).otherwise(""), F.get(between, at)).alias("before"), F.when(last, F.get(between, at + 1)).otherwise("").alias("after"),
+        )
+
+    whole = F.array(F.struct(kind.alias("kind"), raw.alias("raw"), F.lit(None).cast("string").alias("gender"), F.lit("").alias("before"), F.lit("").alias("after")))
+    return F.when(kind == "name", F.transform(parts, unit)).otherwise(whole)
 
 
 def replaced(docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with every detected entity replaced, and n_entities (long), the number of occurrences in the row.
 
-    A column n_entities of docs is replaced. Null and empty texts, and texts without an entity, stay as they are,
-    with 0. Texts may be of any length, ids null or repeated. The text's rows meet their surrogates by a join on
-    id and text hash; only rows with an entity take part in it.
+    A column n_entities of docs is replaced; other columns may have any names. Null and empty texts, and texts without
+    an entity, stay as they are, with 0. Texts may be of any length, ids null or repeated, rows repeated; no rows
+    give no rows. The text's rows meet their surrogates by a join on id and text hash; only rows with an entity
+    take part in it.
     """
-    text = F.col(text_column)
     docs = docs.drop("n_entities")
-    marked = docs.withColumn("_found", F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))))
-    has = F.coalesce(F.size("_found") > 0, F.lit(False))
-    row = [F.col(id_column).alias("_id"), F.xxhash64(text).alias("_hash"), F.length(text).alias("_size")]
-    seen = marked.where(has).select(*row, F.posexplode("_found").alias("_at", "raw")).withColumn("kind", kind_of(F.col("raw")))
-    seen = stored(seen.withColumn("entity", normalised(F.col("raw"), F.col("kind"))).distinct(), "pii-seen")
-    made = surrogates(seen.select("kind", "entity").distinct(), key)
-    dressed = seen.join(made, ["kind", "entity"]).select("_id", "_hash", "_size", "_at", _dressed(F.col("made"), F.col("raw"), F.col("kind")).alias("new"))
-    by_row = dressed.groupBy("_id", "_hash", "_size").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "new"))), lambda x: x["new"]).alias("_new"))
-    by_row = stored(by_row, "pii-by-row")
-    hit = marked.where(has).withColumns({"_h": F.xxhash64(text), "_s": F.length(text)})
-    hit = hit.join(by_row, hit[id_column].eqNullSafe(by_row["_id"]) & (hit["_h"] == by_row["_hash"]) & (hit["_s"] == by_row["_size"]))
-    between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), F.col("_new").alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
-    hit = hit.withColumn(text_column, joined).select(*docs.columns, F.size("_new").cast("long").alias("n_entities"))
-    return hit.unionByName(marked.where(~has).select(*docs.columns, F.lit(0).cast("long").alias("n_entities")))
+    names = docs.columns
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    text, ident = F.col("row")[text_column], F.col("row")[id_column]
+    pattern, found = _pattern_and_entities(text)
+    marked = marked.withColumn("pattern", pattern).withColumn("found", found)
+    has = F.coalesce(F.size("found") > 0, F.lit(False))
+    place = [ident.alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("size")]
+    where = ["id", "hash", "size"]
+    with scratch(docs.sparkSession) as result:
+        seen = marked.where(has).select(*place, F.posexplode("found").alias("at", "occurrence"))
+        seen = seen.select(*where, "at", F.posexplode(_units(F.col("occurrence"), kind_of(F.col("occurrence")))).alias("n", "unit")).select(*where, "at", "n", "unit.*")
+        seen = stored(seen.withColumn("entity", normalised(F.col("raw"), F.col("kind"))).distinct(), "pii-seen")
+        low, high = F.min("gender"), F.max("gender")
+        made = surrogates(seen.groupBy("kind", "entity").agg(F.when(low == high, low).alias("gender")), key)
+        piece = F.concat("before", _dressed(F.col("made"), F.col("raw"), F.col("kind")), "after")
+        dressed = seen.join(made, ["kind", "entity"]).select(*where, "at", "n", piece.alias("piece"))
+        each = dressed.groupBy(*where, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("new"))
+        by_row = result(each.groupBy(*where).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new")), "pii-by-row")
+    hit = marked.where(has).select("row", "pattern", *[c.alias(f"own_{n}") for c, n in zip(place, where, strict=True)])
+    hit = hit.join(by_row, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")) & (F.col("own_size") == F.col("size")))
+    between = F.when(F.col("pattern").isNull(), F.split(text, PATTERN, -1)).otherwise(F.split(text, F.col("pattern"), -1))
+    joined = F.array_join(F.transform(F.arrays_zip(between.alias("a"), F.col("new").alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), "")
+    rest = [F.col("row")[c].alias(c) for c in names]
+    hit = hit.select(*[joined.alias(c) if c == text_column else r for c, r in zip(names, rest, strict=True)], F.size("new").cast("long").alias("n_entities"))
+    return hit.unionByName(marked.where(~has).select(*rest, F.lit(0).cast("long").alias("n_entities")))
