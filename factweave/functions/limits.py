@@ -46,6 +46,29 @@ class MissingDependency(FactError): ...
 class FrontierRegression(FactError): ...
 
 
+class MaterializationCollision(FactError): ...
+
+
+class ByteCollision(FactError): ...
+
+
+#: The error of each outcome that refuses a request.
+REFUSALS = {c.__name__: c for c in (Corrupt, Stale, BatchCollision, MaterializationCollision, AcceptanceOrder, MissingDependency, FrontierRegression, Incomplete, Contradiction)}
+
+
+def checked_entities(df: DataFrame, kind: str = "entity_type", ident: str | None = None, width: int = 16) -> DataFrame:
+    """df, whose read fails as Corrupt at an entity type other than 0 and 1, or a binary id of another width."""
+    good = F.col(kind).isin(0, 1)
+    if ident is not None:
+        good = good & (F.octet_length(ident) == width)
+    return df.where(F.when(good, True).otherwise(F.raise_error(F.lit("Corrupt: entity type or id"))))
+
+
+def checked_headers(df: DataFrame, refused: Column, reason: str) -> DataFrame:
+    """df, whose read fails at the first row that ``refused`` holds for; a validator of (path, kind) is such a condition."""
+    return df.where(F.when(~F.coalesce(refused, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"InvalidQuery: {reason}"))))
+
+
 def checked_limit(limit: int) -> int:
     if not 1 <= limit <= MAX_ROWS:
         raise InvalidQuery(f"limit {limit} is not in 1..{MAX_ROWS}")

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.functions.limits import after, checked_text, cursor_page, page
+from factweave.functions.limits import Corrupt, after, checked_text, cursor_page, page
+from factweave.sources.staging import staged
 
 
 def point(df: DataFrame, column: str, value, columns: Sequence[str] | None = None) -> DataFrame:
@@ -39,7 +40,10 @@ def candidates(df: DataFrame, keys: Sequence[str], cursor: Sequence | None, limi
 
 def task_candidate_blocks(tasks: DataFrame, blocks: DataFrame, pages: DataFrame, marker: str, cursor: Sequence | None, limit: int) -> DataFrame:
     """Tasks of a marker with their block and page, by (page_id, block_id)."""
-    found = tasks.where(F.col("marker") == checked_text(marker)).where(after(["page_id", "block_id"], cursor))
+    past = after(["page_id", "block_id"], cursor)
+    found = tasks.where(F.col("marker") == checked_text(marker)).where(past)
+    if cursor is not None:  # the scans of blocks and pages begin there too
+        blocks, pages = blocks.where(past), pages.where(F.col("page_id") >= F.lit(cursor[0]))
     joined = found.join(blocks, ["block_id", "page_id"]).join(pages.select("page_id", "name", "path", "text_kind"), "page_id")
     out = joined.select("page_id", "block_id", "path", "name", "text_kind", "order_key", "content", "marker", "priority")
     return page(out, ["page_id", "block_id"], limit, "candidate")
@@ -87,16 +91,20 @@ def mismatches(owners: DataFrame, index: DataFrame, key: Sequence[str], columns:
     return joined.agg(F.count_if(F.col("_there").isNull()).alias("absent"), F.count_if(F.col("_there").isNotNull() & differs).alias("different"))
 
 
-def ancestors(blocks: DataFrame, depth: int = 8) -> DataFrame:
-    """(page_id, block_id, ancestor_id, distance) for chains of up to ``depth`` parents.
+def ancestors(blocks: DataFrame) -> DataFrame:
+    """(page_id, block_id, ancestor_id, distance) for chains of any length.
 
-    Doubling: each round joins paths with paths of the same length, so 8 levels take three joins, not eight.
+    Doubling: each round joins the longest paths with all others, so a chain of n blocks takes log2(n) joins. The
+    last round is that which finds no longer path. Parents must not form a ring.
     """
     step = blocks.where("parent_id is not null").select("page_id", "block_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).cast("long").alias("distance"))
     paths, reach = step, 1
-    while reach < depth:
+    while True:
         longest = paths.where(F.col("distance") == reach).select("page_id", "block_id", F.col("ancestor_id").alias("_via"))
-        onward = paths.select("page_id", F.col("block_id").alias("_via"), "ancestor_id", F.col("distance") + reach)
-        paths = paths.unionByName(longest.join(onward.withColumnRenamed(onward.columns[3], "distance"), ["page_id", "_via"]).drop("_via"))
-        reach *= 2
-    return paths
+        onward = paths.select("page_id", F.col("block_id").alias("_via"), "ancestor_id", (F.col("distance") + reach).alias("distance"))
+        further = staged(longest.join(onward, ["page_id", "_via"]).select("page_id", "block_id", "ancestor_id", "distance"), "ancestors")
+        if further.isEmpty():
+            return paths
+        paths, reach = paths.unionByName(further), reach * 2
+        if reach > 1 << 40:
+            raise Corrupt("parents form a ring")

@@ -32,9 +32,10 @@ VIEWS = {
     "f_frames": "SELECT user_id AS device, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence, event_type AS kind, props AS payload, sha256(props) AS payload_digest, event_id AS frame_id FROM events",
     "f_versions": "SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS key, CASE WHEN event_id % 7 <> 0 THEN props END AS value, event_id AS generation FROM events",
     "f_newest": "SELECT key, arg_max_null(value, generation) AS value, max(generation) AS generation FROM f_versions GROUP BY key",
-    "f_batches": "SELECT event_id AS batch_id, user_id % 8 AS peer, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS counter, CASE WHEN event_id > 0 THEN event_id - 1 END AS head, sha256(props) AS digest FROM events",
+    "f_batches": "SELECT event_id AS batch_id, event_id % 8 AS peer, event_id // 8 + 1 AS counter, CASE WHEN event_id > 0 THEN event_id - 1 END AS head, sha256(props) AS digest FROM events",
 }
 _NEEDS = {"f_newest": ["f_versions"]}
+REACH = "reach(b, a) AS (SELECT batch_id, batch_id FROM f_dag UNION SELECT r.b, e.head FROM reach r JOIN dag_edges e ON e.batch_id = r.a)"
 
 
 def registered(name: str, sql: str | None, *views: str):
@@ -44,7 +45,11 @@ def registered(name: str, sql: str | None, *views: str):
         QUERIES[name] = lambda spark, folder: function(Facts(spark, folder))
         if sql:
             names = list(dict.fromkeys(x for v in views for x in [*_NEEDS.get(v, []), v]))
-            ORACLE_SQL[name] = (("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in names) + " ") if names else "") + sql
+            tables = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
+            if sql.startswith("RECURSIVE "):  # over all ancestors of the batches of f_dag
+                ORACLE_SQL[name] = f"WITH RECURSIVE {tables}, {REACH} {sql.removeprefix('RECURSIVE ')}"
+            else:
+                ORACLE_SQL[name] = f"WITH {tables} {sql}" if names else sql
         return function
 
     return wrap
@@ -117,8 +122,8 @@ def _(f: Facts) -> DataFrame:
 
 @registered("q13_tags", "SELECT * FROM f_tags WHERE tag = (SELECT min(tag) FROM f_tags) ORDER BY page_id, owner_id, ordinal LIMIT 1000", "f_tags")
 def _(f: Facts) -> DataFrame:
-    lowest = f.tags.agg(F.min("tag").alias("tag"))
-    return page(f.tags.join(F.broadcast(lowest), "tag", "left_semi"), ["page_id", "owner_id", "ordinal"], 1000, "tag")  # one row
+    lowest = f.tags.agg(F.min("tag")).first()[0]
+    return page(f.tags_named(lowest), ["page_id", "owner_id", "ordinal"], 1000, "tag")
 
 
 @registered("q14_tasks_nulls_last", "SELECT * FROM f_tasks WHERE marker = 'O' ORDER BY deadline IS NULL, deadline, scheduled IS NULL, scheduled, page_id, block_id LIMIT 200", "f_tasks")

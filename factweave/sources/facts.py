@@ -65,6 +65,11 @@ class Facts:
     def tags(self) -> DataFrame:
         return self._table("part").select(F.col("p_partkey").alias("owner_id"), F.col("p_size").alias("page_id"), F.posexplode(F.split("p_name", " ")).alias("ordinal", "tag")).withColumn("ordinal", F.col("ordinal").cast("long"))
 
+    def tags_named(self, tag: str) -> DataFrame:
+        """The tags of one name; names that do not hold it are dropped in the scan, before any is split."""
+        found = self._table("part").where(F.col("p_name").contains(tag))
+        return found.select(F.col("p_partkey").alias("owner_id"), F.col("p_size").alias("page_id"), F.posexplode(F.split("p_name", " ")).alias("ordinal", "tag")).where(F.col("tag") == tag).withColumn("ordinal", F.col("ordinal").cast("long"))
+
     @property
     def texts(self) -> DataFrame:
         return self._table("conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("entity_id"), "text")
@@ -84,9 +89,6 @@ class Facts:
 
     @property
     def batches(self) -> DataFrame:
-        """Accepted batches: eight peers, each with its own counter; the head is the batch before."""
-        from pyspark.sql import Window
-
-        peer = F.col("user_id") % 8
-        order = Window.partitionBy(peer).orderBy("event_id")
-        return self._table("events").select(F.col("event_id").alias("batch_id"), peer.alias("peer"), F.row_number().over(order).cast("long").alias("counter"), F.when(F.col("event_id") > 0, F.col("event_id") - 1).alias("head"), F.sha2(F.col("props").cast("binary"), 256).alias("digest"))
+        """Accepted batches: eight peers take turns, each with its own counter; the head is the batch before."""
+        me = F.col("event_id")
+        return self._table("events").select(me.alias("batch_id"), (me % 8).alias("peer"), (F.floor(me / 8) + 1).alias("counter"), F.when(me > 0, me - 1).alias("head"), F.sha2(F.col("props").cast("binary"), 256).alias("digest"))

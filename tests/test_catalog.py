@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from factweave.plans import records  # noqa: F401  adds its queries to the catalog
 from factweave.plans.catalog import ORACLE_SQL, QUERIES
 from factweave.sources.tables import TABLES
 
