@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from factweave.functions.limits import BatchCollision
+from factweave.sources.staging import stage_folder, staged
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only on a local master without that setting."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    if spark.sparkContext.master.startswith("local"):
-        return "file://" + tempfile.mkdtemp(prefix="factweave-stream-")
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """A new folder for a stream's log and checkpoint, which all executors share."""
+    return stage_folder(spark)
+
+
+#: Parts of the applied log by key; a micro-batch is met only by those that its keys fall in.
+PARTS = 64
 
 
 class AppliedLog:
@@ -28,12 +27,13 @@ class AppliedLog:
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, key: str = "batch_id", digest: str = "digest"):
         self.spark, self.folder, self.schema, self.key, self.digest = spark, folder, schema, key, digest
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """What has been applied, without micro-batches from ``before`` on."""
+    def read(self, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """What has been applied, without micro-batches from ``before`` on; with ``parts``, no other is listed or read."""
         if not self._exists():
             return self.spark.createDataFrame([], self.schema)
-        found = self.spark.read.schema(StructType([*self.schema, StructField("epoch", LongType())])).parquet(f"{self.folder}/applied")
-        return (found if before is None else found.where(F.col("epoch") < before)).drop("epoch")
+        found = self.spark.read.schema(StructType([*self.schema, StructField("epoch", LongType()), StructField("part", LongType())])).parquet(f"{self.folder}/applied")
+        found = found if before is None else found.where(F.col("epoch") < before)
+        return (found if parts is None else found.where(F.col("part").isin(parts))).drop("epoch", "part")
 
     def _exists(self) -> bool:
         jvm = self.spark._jvm
@@ -42,13 +42,15 @@ class AppliedLog:
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """Appends new batches; the same batch again is a no-op, the same id with another digest refuses all."""
+        batch = staged(batch.withColumn("part", F.pmod(F.xxhash64(self.key), F.lit(PARTS))), "micro-batch")
+        parts = [r[0] for r in batch.select("part").distinct().collect()]  # at most PARTS numbers
         within = batch.groupBy(self.key).agg(F.min(self.digest).alias("low"), F.max(self.digest).alias("high"))
-        prior = self.read(before=epoch).select(self.key, F.col(self.digest).alias("_digest"))
+        prior = self.read(before=epoch, parts=parts).select(self.key, F.col(self.digest).alias("_digest"))
         clash = within.join(prior, self.key, "left").where((F.col("low") != F.col("high")) | (F.col("_digest") != F.col("low")))
         if not clash.isEmpty():
             raise BatchCollision("a batch id came with two digests")
-        fresh = batch.dropDuplicates([self.key]).join(prior, self.key, "left_anti").select(*self.schema.names)
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/applied/epoch={epoch}")
+        fresh = batch.dropDuplicates([self.key]).join(prior, self.key, "left_anti").select(*self.schema.names, "part")
+        fresh.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/applied/epoch={epoch}")
 
 
 def run_available(source: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
