@@ -1,14 +1,18 @@
-"""Language-model scoring with a class-based bigram model (Brown classes found by exchange).
-
-P(text) is the product over its tokens of P(class | class before) * P(token | class). The most frequent words are
-clustered by exchange; every other word takes the class that the clustered words with its longest ending mostly
-have, so its class needs no table. Class transitions and word counts are those of all training texts.
+"""Language-model scoring with a class-based bigram model, whose classes are found by exchange.
+
+P(text) is the product over its tokens of P(class | history) * P(token | class). A token's history is the history class
+of the token before it: the most frequent words are clustered by the two-sided exchange for that, and every other word
+takes the class that the clustered words with its longest ending mostly have, so a history needs no table. The class
+that a token is predicted by comes from the one-sided (predictive) exchange over the whole training vocabulary: from
+the counts of (history, word), gathered over all training texts, every word moves, sweep by sweep, to the class with
+which its histories are most likely, its own counts taken out. All words of a sweep move at once, as in distributed
+clustering, so that a sweep is one pass over a table with one row a word. Unseen words take their history class.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.bpe import slices
-from factweave.llm.shared import dropped, for_python, stored
+from factweave.llm.shared import dropped, for_python, scratch, stored
 
-#: Words that are clustered, classes, longest ending in bytes; a frequent word has at least 1 of so many tokens.
+#: Words clustered for histories, classes, longest ending in bytes; a frequent word has at least 1 of so many tokens.
 CLUSTERED, CLASSES, ENDING, FREQUENT = 1024, 32, 4, 1 << 20
+#: Sweeps of the exchange over all words; added to a count of (history, class) in it, and words taken at a time.
+SWEEPS, FLOOR, WORDS = 4, 0.5, 8192
 #: Added to a word's count within its class, and the weight of the class's own frequency in a transition.
 DELTA, ALPHA = 0.5, 8.0
 FLUSH = 300_000
@@ -159,18 +165,108 @@ def _summed(texts: DataFrame, side: int, steps) -> np.ndarray:
     return out.reshape(side, side)
 
 
+def context_counts(texts: DataFrame, histories: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(word, h, n): how often each word, and b"" for a text's end, follows each history; counted within tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            words, before = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(held.values(), pa.int64())], ["word", "h", "n"])
+
+        for batch in slices(batches):
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                held.update(zip([*words, b""], [CLASSES, *histories(words).tolist()], strict=True))
+                if len(held) > FLUSH:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return texts.mapInArrow(run, "word binary, h int, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+
+
+def moved(counts: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The classes of words after a sweep, from their counts by history (words, histories) and their classes now.
+
+    ``joint`` are the counts of (history, class) of all words. A word's own counts are taken out of its class first;
+    of equal classes the first is taken, but a word stays where it is as well off.
+    """
+    total = joint.sum(0)
+    scores = counts @ np.log(joint + FLOOR) - counts.sum(1, keepdims=True) * np.log(total + FLOOR * len(joint))
+    own = np.log(np.maximum(joint.T[now] - counts, 0) + FLOOR)
+    left = np.maximum(total[now] - counts.sum(1), 0) + FLOOR * len(joint)
+    here = (counts * own).sum(1) - counts.sum(1) * np.log(left)
+    at = np.arange(len(now))
+    scores[at, now] = here
+    best = scores.argmax(1)
+    return np.where(scores[at, best] > here + 1e-9, best, now)
+
+
+def _classed(rows: pa.RecordBatch, joints: list[np.ndarray], first: Callable[[list[bytes]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, counts by history, classes) of the words in rows (word, h, n), as the sweeps with these joint counts leave them."""
+    sizes = np.diff(rows.column(1).offsets.to_numpy())
+    for at in range(0, rows.num_rows, WORDS):
+        part = rows.slice(at, WORDS)
+        owner = np.repeat(np.arange(part.num_rows), sizes[at : at + WORDS])
+        counts = np.zeros((part.num_rows, CLASSES + 1))
+        counts[owner, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+        now = first(part.column(0).to_pylist())
+        for joint in joints:
+            now = moved(counts, now, joint)
+        yield np.arange(at, at + part.num_rows), counts, now
+
+
+def _exchanged(words: DataFrame, first: Callable[[list[bytes]], np.ndarray]) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, kind) for words (word, h array, n array), and the counts of (history, class), after all sweeps.
+
+    The words' classes are kept nowhere between sweeps: each pass finds them again from the joint counts of those
+    before, which are CLASSES + 1 rows of CLASSES numbers.
+    """
+    joints: list[np.ndarray] = []
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((CLASSES, CLASSES + 1))
+        for batch in batches:
+            for _, counts, now in _classed(batch, joints, first):
+                np.add.at(held, now, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(held.size), pa.int32()), pa.array(held.ravel().astype(np.int64))], ["at", "n"])
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for places, counts, now in _classed(batch, joints, first):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(places[0], len(places)), pa.array(counts.sum(1).astype(np.int64)), pa.array(now.astype(np.int32))], ["word", "n", "kind"])
+
+    while True:
+        joint = np.zeros(CLASSES * (CLASSES + 1))
+        for r in words.mapInArrow(summed, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            joint[r["at"]] = r["n"]
+        joint = joint.reshape(CLASSES, CLASSES + 1).T
+        if len(joints) == SWEEPS or joints and (joint == joints[-1]).all():
+            return words.mapInArrow(classes, "word binary, n long, kind int"), joint
+        joints.append(joint)
+
+
 def scored(docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row.
+    """(id, n_tokens, n_known, train_tokens, base_score, score, perplexity) for every row.
 
     Tokens are a text's words and one end. ``training`` says which rows are learned from (null: no). base_score
-    is the add-one unigram log10 probability, score that of the class model. Null text counts as empty; ids may
-    be null or repeat; other columns are ignored; without training rows every count is 0.
+    is the add-one unigram log10 probability, score that of the class model, perplexity its inverse a token. Null text
+    counts as empty; ids may be null or repeat; other columns are ignored; without training rows every count is 0.
 
     Frequent words, of which there can be at most FREQUENT, go to all workers with their counts. Every other word
     is counted and looked up by a join on the word, of whose rows none can have more than 1 in FREQUENT.
     """
     spark = docs.sparkSession
     for_python(spark)
+    with scratch(spark) as result:
+        return result(_scored(docs, training, id_column, text_column), "lm-scores")
+
+
+def _scored(docs: DataFrame, training: Column, id_column: str, text_column: str) -> DataFrame:
+    spark = docs.sparkSession
     learn = docs.where(training).select(id_column, text_column)
     counts = stored(word_counts(learn), "lm-counts")
     ends = learn.count()
@@ -179,8 +275,7 @@ def scored(docs: DataFrame, training: Column, id_column: str = "doc_id", text_co
     rows = counts.where(F.col("n") * FREQUENT >= tokens).collect()
     frequent = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
     clustered = min(CLUSTERED, len(frequent))
-    first = {w: i for i, (w, _) in enumerate(frequent[:clustered])}
-    shared = spark.sparkContext.broadcast(first)
+    shared = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(frequent[:clustered])})
 
     def neighbours(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = shared.value
@@ -189,63 +284,70 @@ def scored(docs: DataFrame, training: Column, id_column: str = "doc_id", text_co
         there = (code[:-1] >= 0) & (code[1:] >= 0)
         return code[:-1][there], code[1:][there]
 
-    found = Classes.made(frequent, exchange(_summed(learn, clustered + 1, neighbours)))
-    model = spark.sparkContext.broadcast(found)
+    model = spark.sparkContext.broadcast(Classes.made(frequent, exchange(_summed(learn, clustered + 1, neighbours))))
     memo: dict[bytes, int] = {}
 
-    def transitions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        kinds = np.concatenate([[CLASSES], model.value.sequence(words, memo)[1], [CLASSES]])
-        return kinds[:-1], kinds[1:]
-
-    steps = _summed(learn, CLASSES + 1, transitions)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = model.value.sequence(batch.column(0).to_pylist(), {})[1]
-            n = np.bincount(kinds, minlength=CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(n, pa.int64())], ["kind", "n"])
-
+    def histories(words: list[bytes]) -> np.ndarray:
+        return model.value.sequence(words, memo)[1]
+
+    contexts = context_counts(learn, histories)
+    ended = F.col("word") == F.lit(b"")
+    contexts = stored(contexts.groupBy("word").agg(F.collect_list(F.struct("h", "n")).alias("c")).select("word", F.col("c.h").alias("h"), F.col("c.n").alias("n")), "lm-contexts")
+    made, joint = _exchanged(contexts.where(~ended), histories)
+    words = stored(made, "lm-words")
+    dropped(counts)
+    into_end = np.zeros(CLASSES + 1)
+    for r in contexts.where(ended).collect():
+        into_end[r["h"]] = r["n"]
     sizes = np.zeros(CLASSES)
-    for r in counts.select("word").mapInArrow(classed, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():
+    for r in words.groupBy("kind").agg(F.count("*").alias("n")).collect():
         sizes[r["kind"]] = r["n"]
-
+    steps = np.column_stack([joint, into_end])
     into = steps.sum(0)
     share = (into + 1) / (into.sum() + CLASSES + 1)
     log_step = np.log10((steps + ALPHA * share) / (steps.sum(1, keepdims=True) + ALPHA))
     log_room = np.log10(into[:CLASSES] + DELTA * (sizes + 1))
     n = np.array([c for _, c in frequent], np.float64)
-    log_base, log_class = np.log10(n + 1), np.log10(n + DELTA)
+    predicted = np.zeros(len(frequent), np.int64)
+    for r in words.where(F.col("n") * FREQUENT >= tokens).select("word", "kind").toLocalIterator():
+        predicted[model.value.codes[bytes(r["word"])]] = r["kind"]
+    log_base, log_word = np.log10(n + 1), np.log10(n + DELTA) - log_room[predicted]
     room = float(np.log10(tokens + distinct + 1))
-    tables = spark.sparkContext.broadcast((log_step, log_room, log_base, log_class))
+    tables = spark.sparkContext.broadcast((log_step, log_base, log_word, predicted))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_step, log_room, log_base, log_class = tables.value
+        log_step, log_base, log_word, predicted = tables.value
         known = model.value
         for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                codes, kinds = known.sequence(words, memo)
-                path = np.concatenate([[CLASSES], kinds, [CLASSES]])
-                there = codes[codes >= 0]
-                rest = Counter([words[i] for i in np.flatnonzero(codes < 0)])
+                codes, own = known.sequence(words, memo)
+                before = np.concatenate([[CLASSES], own])
+                there = codes >= 0
+                at = codes[there]
+                places = np.flatnonzero(~there)
+                rest = Counter(zip([words[i] for i in places], before[places].tolist(), own[places].tolist(), strict=True))
                 length = len(words) + 1
-                base = log_base[there].sum() + np.log10(ends + 1) - length * room
-                value = log_step[path[:-1], path[1:]].sum() - log_room[kinds].sum() + log_class[there].sum()
-                out.append((length, len(there) + (ends > 0), float(base), float(value), list(rest.keys()), list(rest.values())))
+                base = log_base[at].sum() + np.log10(ends + 1) - length * room
+                value = log_step[before[:-1][there], predicted[at]].sum() + log_word[at].sum() + log_step[before[-1], CLASSES]
+                names, left, ending = zip(*rest, strict=True) if rest else ((), (), ())
+                out.append((length, len(at) + (ends > 0), float(base), float(value), names, left, ending, list(rest.values())))
             columns = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, types, strict=True)]], ["doc_id", "n_tokens", "known", "base", "value", "words", "times"])
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, types, strict=True)]], ["doc_id", "n_tokens", "known", "base", "value", "words", "left", "endings", "times"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    made = docs.select(id_column, text_column).mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, base double, value double, words array<binary>, times array<long>")
+    made = docs.select(id_column, text_column).mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, base double, value double, words array<binary>, left array<int>, endings array<int>, times array<long>")
     made = stored(made.withColumn("row", F.monotonically_increasing_id()), "lm-partial")
-    rare = made.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnsRenamed({"words": "word", "times": "k"})
-    rare = rare.join(counts.where(F.col("n") * FREQUENT < tokens), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = made.select("row", F.inline(F.arrays_zip("words", "left", "endings", "times"))).withColumnsRenamed({"words": "word", "times": "k"})
+    rare = rare.join(words.where(F.col("n") * FREQUENT < tokens), "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("kind", F.coalesce("kind", "endings"))
     k, n = F.col("k"), F.col("n")
-    rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, k).otherwise(0)).alias("k"), F.sum(k * F.log10(n + 1)).alias("b"), F.sum(k * F.log10(n + DELTA)).alias("v"))
-    whole = made.drop("words", "times").join(rare, "row", "left")
+    step = F.get(F.lit(log_step[:, :CLASSES].ravel().tolist()), F.col("left") * CLASSES + F.col("kind")) - F.get(F.lit(log_room.tolist()), F.col("kind"))
+    rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, k).otherwise(0)).alias("k"), F.sum(k * F.log10(n + 1)).alias("b"), F.sum(k * (F.log10(n + DELTA) + step)).alias("v"))
+    whole = made.drop("words", "left", "endings", "times").join(rare, "row", "left")
+    value = F.col("value") + F.coalesce("v", F.lit(0.0))
     return whole.select(
         F.col("doc_id").alias(id_column), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("value") + F.coalesce("v", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )

@@ -43,7 +43,7 @@ def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(row_remainder("doc_id", 7) == 2, F.lit(False))
     made = brown.scored(table(spark, folder, "documents"), ~held_out)
-    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op6_telephony(spark: SparkSession, folder: str) -> DataFrame:

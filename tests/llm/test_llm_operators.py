@@ -234,6 +234,85 @@ def test_lm_scores(spark, odd, none):
     assert brown.scored(odd, F.lit(True)).count() == 8 and brown.scored(none, F.lit(True)).count() == 0
 
 
+def test_lm_scores_equal_a_plain_version(spark, monkeypatch):
+    """Frequent and rare words, seen and unseen, against loops over dictionaries."""
+    monkeypatch.setattr(brown, "FREQUENT", 150)
+    monkeypatch.setattr(brown, "CLUSTERED", 12)
+    draw = np.random.default_rng(13)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ing", "ed", "er", "s", "ly", "tion", "o", "x")]
+    share = 1 / np.arange(1, len(vocabulary) + 1)
+    texts = [" ".join(draw.choice(vocabulary, draw.integers(0, 30), p=share / share.sum())) for _ in range(120)] + ["wholly unseen kaing words"]
+    train = [i for i in range(len(texts) - 1) if i % 7 != 2]
+    got = {r["doc_id"]: r for r in brown.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id").isin(train)).collect()}
+
+    words = [brown.words_of(t) for t in texts]
+    counts = {}
+    for i in train:
+        for w in words[i]:
+            counts[w] = counts.get(w, 0) + 1
+    tokens = sum(counts.values()) + len(train)
+    frequent = sorted(((w, n) for w, n in counts.items() if n * 150 >= tokens), key=lambda x: (-x[1], x[0]))
+    assert 12 < len(frequent) < len(counts)
+    code = {w: i for i, (w, _) in enumerate(frequent[:12])}
+    near = np.zeros((13, 13))
+    for i in train:
+        path = [12, *(code.get(w, -1) for w in words[i]), 12]
+        for a, b in zip(path, path[1:], strict=False):
+            near[a, b] += a >= 0 and b >= 0
+    seeds = brown.exchange(near)
+    votes = {}
+    for (w, n), k in zip(frequent, seeds, strict=False):
+        for size in range(1, min(4, len(w)) + 1):
+            votes.setdefault(w[-size:], np.zeros(brown.CLASSES))[k] += n
+    total = np.bincount(seeds, [n for _, n in frequent[:12]], brown.CLASSES)
+
+    def history(w):
+        if w in code:
+            return int(seeds[code[w]])
+        return next((int(votes[w[-s:]].argmax()) for s in range(min(4, len(w)), 0, -1) if w[-s:] in votes), int(total.argmax()))
+
+    follows, last = {w: np.zeros(brown.CLASSES + 1) for w in counts}, np.zeros(brown.CLASSES + 1)
+    for i in train:
+        before = brown.CLASSES
+        for w in words[i]:
+            follows[w][before] += 1
+            before = history(w)
+        last[before] += 1
+    kind = {w: history(w) for w in counts}
+    for _ in range(brown.SWEEPS):
+        joint = np.zeros((brown.CLASSES + 1, brown.CLASSES))
+        for w, k in kind.items():
+            joint[:, k] += follows[w]
+        after = {}
+        for w, k in kind.items():
+            rest = joint.copy()
+            rest[:, k] -= follows[w]
+            values = [sum(x * (np.log(rest[h, c] + 0.5) - np.log(rest[:, c].sum() + 0.5 * len(rest))) for h, x in enumerate(follows[w]) if x) for c in range(brown.CLASSES)]
+            best = int(np.argmax(values))
+            after[w] = best if values[best] > values[k] + 1e-9 else k
+        if after == kind:
+            break
+        kind = after
+    assert kind != {w: history(w) for w in counts}
+    steps = np.zeros((brown.CLASSES + 1, brown.CLASSES + 1))
+    steps[:, -1] = last
+    for w, k in kind.items():
+        steps[:, k] += follows[w]
+    into = steps.sum(0)
+    share = (into + 1) / (into.sum() + brown.CLASSES + 1)
+    sizes = np.bincount(list(kind.values()), minlength=brown.CLASSES)
+    for i, path in enumerate(words):
+        before, value = brown.CLASSES, 0.0
+        step = lambda h, c: np.log10((steps[h, c] + 8 * share[c]) / (steps[h].sum() + 8))
+        for w in path:
+            k = kind.get(w, history(w))
+            value += step(before, k) + np.log10((counts.get(w, 0) + 0.5) / (into[k] + 0.5 * (sizes[k] + 1)))
+            before = history(w)
+        value += step(before, brown.CLASSES)
+        assert got[i]["score"] == pytest.approx(value) and got[i]["perplexity"] == pytest.approx(10 ** (-value / (len(path) + 1)))
+        assert got[i]["n_known"] == sum(w in counts for w in path) + 1
+
+
 def test_exchange_finds_classes():
     draw = np.random.default_rng(2)
     counts = np.zeros((13, 13))
