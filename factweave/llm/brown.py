@@ -26,7 +26,7 @@ from factweave.llm.shared import dropped, for_python, scratch, stored
 #: Words clustered for histories, classes, longest ending in bytes; a frequent word has at least 1 of so many tokens.
 CLUSTERED, CLASSES, ENDING, FREQUENT = 1024, 32, 4, 1 << 20
 #: Sweeps of the exchange over all words; added to a count of (history, class) in it, and words taken at a time.
-SWEEPS, FLOOR, WORDS = 4, 0.5, 8192
+SWEEPS, FLOOR, WORDS = 2, 0.5, 8192
 #: Added to a word's count within its class, and the weight of the class's own frequency in a transition.
 DELTA, ALPHA = 0.5, 8.0
 FLUSH = 300_000
@@ -166,7 +166,11 @@ def _summed(texts: DataFrame, side: int, steps) -> np.ndarray:
 
 
 def context_counts(texts: DataFrame, histories: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """(word, h, n): how often each word, and b"" for a text's end, follows each history; counted within tasks first."""
+    """(word, h array, n array): how often each word, and b"" for a text's end, follows each history.
+
+    Counted within tasks first, so a word of any frequency sends a few dozen rows for every FLUSH entries of a
+    task; they meet in one exchange by word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -185,7 +189,8 @@ def context_counts(texts: DataFrame, histories: Callable[[list[bytes]], np.ndarr
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "word binary, h int, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, "word binary, h int, n long").repartition("word").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.collect_list(F.struct("h", "n")).alias("c")).select("word", F.col("c.h").alias("h"), F.col("c.n").alias("n"))
 
 
 def moved(counts: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
@@ -205,22 +210,22 @@ def moved(counts: np.ndarray, now: np.ndarray, joint: np.ndarray) -> np.ndarray:
     return np.where(scores[at, best] > here + 1e-9, best, now)
 
 
-def _classed(rows: pa.RecordBatch, joints: list[np.ndarray], first: Callable[[list[bytes]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places, counts by history, classes) of the words in rows (word, h, n), as the sweeps with these joint counts leave them."""
+def _classed(rows: pa.RecordBatch, joints: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, counts by history, classes) of the words in rows (word, h, n, kind), as the sweeps with these joint counts leave them."""
     sizes = np.diff(rows.column(1).offsets.to_numpy())
     for at in range(0, rows.num_rows, WORDS):
         part = rows.slice(at, WORDS)
         owner = np.repeat(np.arange(part.num_rows), sizes[at : at + WORDS])
         counts = np.zeros((part.num_rows, CLASSES + 1))
         counts[owner, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
-        now = first(part.column(0).to_pylist())
+        now = part.column(3).to_numpy()
         for joint in joints:
             now = moved(counts, now, joint)
         yield np.arange(at, at + part.num_rows), counts, now
 
 
-def _exchanged(words: DataFrame, first: Callable[[list[bytes]], np.ndarray]) -> tuple[DataFrame, np.ndarray]:
-    """(word, n, kind) for words (word, h array, n array), and the counts of (history, class), after all sweeps.
+def _exchanged(words: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, kind) for words (word, h array, n array, kind at first), and the counts of (history, class), after all sweeps.
 
     The words' classes are kept nowhere between sweeps: each pass finds them again from the joint counts of those
     before, which are CLASSES + 1 rows of CLASSES numbers.
@@ -230,13 +235,13 @@ def _exchanged(words: DataFrame, first: Callable[[list[bytes]], np.ndarray]) ->
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((CLASSES, CLASSES + 1))
         for batch in batches:
-            for _, counts, now in _classed(batch, joints, first):
+            for _, counts, now in _classed(batch, joints):
                 np.add.at(held, now, counts)
         yield pa.RecordBatch.from_arrays([pa.array(range(held.size), pa.int32()), pa.array(held.ravel().astype(np.int64))], ["at", "n"])
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for places, counts, now in _classed(batch, joints, first):
+            for places, counts, now in _classed(batch, joints):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(places[0], len(places)), pa.array(counts.sum(1).astype(np.int64)), pa.array(now.astype(np.int32))], ["word", "n", "kind"])
 
     while True:
@@ -290,10 +295,13 @@ def _scored(docs: DataFrame, training: Column, id_column: str, text_column: str)
     def histories(words: list[bytes]) -> np.ndarray:
         return model.value.sequence(words, memo)[1]
 
-    contexts = context_counts(learn, histories)
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(histories(batch.column(0).to_pylist()).astype(np.int32))], ["word", "h", "n", "kind"])
+
     ended = F.col("word") == F.lit(b"")
-    contexts = stored(contexts.groupBy("word").agg(F.collect_list(F.struct("h", "n")).alias("c")).select("word", F.col("c.h").alias("h"), F.col("c.n").alias("n")), "lm-contexts")
-    made, joint = _exchanged(contexts.where(~ended), histories)
+    contexts = stored(context_counts(learn, histories).mapInArrow(begun, "word binary, h array<int>, n array<long>, kind int"), "lm-contexts")
+    made, joint = _exchanged(contexts.where(~ended))
     words = stored(made, "lm-words")
     dropped(counts)
     into_end = np.zeros(CLASSES + 1)
