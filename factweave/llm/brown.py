@@ -165,29 +165,45 @@ def _summed(texts: DataFrame, side: int, steps) -> np.ndarray:
     return out.reshape(side, side)
 
 
-def context_counts(texts: DataFrame, histories: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+def context_counts(texts: DataFrame, coded: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], frequent: Callable[[], list[bytes]]) -> DataFrame:
     """(word, h array, n array): how often each word, and b"" for a text's end, follows each history.
 
-    Counted within tasks first, so a word of any frequency sends a few dozen rows for every FLUSH entries of a
-    task; they meet in one exchange by word.
+    ``coded`` gives the codes (-1: not frequent) and history classes of words, ``frequent`` the words by code. A task
+    counts frequent words in a table of at most FREQUENT times CLASSES + 1 numbers and gives them out once, so a word
+    of any frequency sends a few dozen rows a task; others are counted by word. All meet in one exchange by word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, width = frequent(), CLASSES + 1
+        table = np.zeros(len(names) * width, np.int64)
         held: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
+        def out(words: list[bytes], before: list[int] | np.ndarray, times: list[int] | np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(times, pa.int64())], ["word", "h", "n"])
+
+        def rest() -> pa.RecordBatch:
             words, before = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(before, pa.int32()), pa.array(held.values(), pa.int64())], ["word", "h", "n"])
+            return out(words, before, list(held.values()))
 
         for batch in slices(batches):
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                held.update(zip([*words, b""], [CLASSES, *histories(words).tolist()], strict=True))
+                codes, own = coded(words)
+                before = np.concatenate([[CLASSES], own])
+                there = codes >= 0
+                np.add.at(table, codes[there] * width + before[:-1][there], 1)
+                places = np.flatnonzero(~there)
+                held.update(zip([words[i] for i in places], before[places].tolist(), strict=True))
+                held[b"", int(before[-1])] += 1
                 if len(held) > FLUSH:
-                    yield out()
+                    yield rest()
                     held.clear()
         if held:
-            yield out()
+            yield rest()
+        some = np.flatnonzero(table)
+        for at in range(0, len(some), 100_000):
+            part = some[at : at + 100_000]
+            yield out([names[i] for i in part // width], part % width, table[part])
 
     rows = texts.mapInArrow(run, "word binary, h int, n long").repartition("word").groupBy("word", "h").agg(F.sum("n").alias("n"))
     return rows.groupBy("word").agg(F.collect_list(F.struct("h", "n")).alias("c")).select("word", F.col("c.h").alias("h"), F.col("c.n").alias("n"))
@@ -300,7 +316,10 @@ def _scored(docs: DataFrame, training: Column, id_column: str, text_column: str)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(histories(batch.column(0).to_pylist()).astype(np.int32))], ["word", "h", "n", "kind"])
 
     ended = F.col("word") == F.lit(b"")
-    contexts = stored(context_counts(learn, histories).mapInArrow(begun, "word binary, h array<int>, n array<long>, kind int"), "lm-contexts")
+    def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return model.value.sequence(words, memo)
+
+    contexts = stored(context_counts(learn, coded, lambda: list(model.value.codes)).mapInArrow(begun, "word binary, h array<int>, n array<long>, kind int"), "lm-contexts")
     made, joint = _exchanged(contexts.where(~ended))
     words = stored(made, "lm-words")
     dropped(counts)
