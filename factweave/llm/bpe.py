@@ -26,7 +26,7 @@ from factweave.llm.shared import for_python
 #: White space as the rank files' pattern means it (the Unicode property).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of one generation of a worker's memo, and the longest key kept there.
-MEMO, MEMO_KEY = 150_000, 48
+MEMO, MEMO_KEY = 250_000, 48
 SHIFT = 20
 
 

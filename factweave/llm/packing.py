@@ -136,11 +136,11 @@ def _encoder(path: str) -> Memo:
     return Memo(encode)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids binary): every text's tokens and the end id, cut only if over ``capacity``.
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, ids binary): every text's tokens and the end id, cut only if over ``capacity``.
 
     All pieces of a cut text but the first are full, so it needs as few as can be. ids are unsigned 32-bit
-    little-endian. Null text counts as empty: its one token is the end id. Document ids may be null or repeat, and
+    little-endian, null without ``keep_ids``; ids_crc32 is their unsigned crc32. Null text counts as empty: its one token is the end id. Document ids may be null or repeat, and
     are only carried along; other columns are ignored; no rows give no rows. Nothing is shuffled.
     """
     for_python(docs.sparkSession)
@@ -159,12 +159,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
                     starts.append(a)
                     parts.append(ids[4 * a : 4 * b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(parts, pa.binary())],
-                ["doc_id", "piece", "start", "length", "ids"],
+                [batch.column(0).take(pa.array(rows)), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(p) // 4 for p in parts], pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(parts if keep_ids else [None] * len(parts), pa.binary())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("doc_id", id_column)
+    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary").withColumnRenamed("doc_id", id_column)
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, most: int = OPEN, fan_in: int = FAN_IN) -> DataFrame:

@@ -32,8 +32,7 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.packed(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False).drop("ids"))
 
 
 def op4_surrogates(spark: SparkSession, folder: str) -> DataFrame:
