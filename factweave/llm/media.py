@@ -65,12 +65,28 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+#: Neighbours on either side that a sample between two is made of.
+REACH = 8
+
+
+@functools.cache
+def between_taps() -> np.ndarray:
+    """The half-band low-pass filter that gives the samples between: a sinc under a Hann window, in 32,768ths."""
+    at = np.arange(REACH) + 0.5
+    taps = np.sinc(at) * np.cos(np.pi * at / (2 * REACH + 1)) ** 2
+    half = np.rint(taps / taps.sum() * 16384).astype(np.int64)
+    half[0] += 16384 - half.sum()
+    return np.concatenate([half[::-1], half])
+
+
 def doubled(pcm: np.ndarray) -> np.ndarray:
-    """Samples at twice the rate: each followed by the mean of itself and the next (the last by itself)."""
+    """Samples at twice the rate, low-pass filtered: the samples themselves, and between any two what the filter makes of
+    the REACH samples on either side (beyond the ends the first and last sample go on). Whole numbers throughout."""
     out = np.empty(2 * len(pcm), np.int16)
     out[0::2] = pcm
-    after = np.append(pcm[1:], pcm[-1:]).astype(np.int32)
-    out[1::2] = (pcm + after) >> 1
+    wide = np.pad(pcm.astype(np.int64), (REACH - 1, REACH), mode="edge")
+    made = np.convolve(wide, between_taps()[::-1], mode="valid")
+    out[1::2] = np.clip((made + 16384) >> 15, -32768, 32767)
     return out
 
 
@@ -133,8 +149,8 @@ def telephony(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     The text's UTF-8 bytes, with zeros up to a positive multiple of 64, are stored as the 8-bit samples of a
     mu-law WAVE file (``media``). The file is read back: ``payload`` are its samples, ``feature`` describes them,
-    and ``pcm`` is a 16-bit WAVE file at 16 kHz (null without ``keep_pcm``). Null text counts as empty; other
-    columns are ignored; nothing is shuffled.
+    and ``pcm`` is a 16-bit WAVE file at 16 kHz (null without ``keep_pcm``). Null text counts as empty; ids may be null
+    or repeat, and rows that repeat give equal rows; other columns are ignored; no rows give no rows; nothing is shuffled.
     """
     for_python(docs.sparkSession)
 

@@ -46,11 +46,12 @@ def op5_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, folder: str) -> DataFrame:
-    made = media.telephony(table(spark, folder, "documents"), keep_pcm=False)
+    made = media.telephony(table(spark, folder, "documents"))
     size = F.length("payload").cast("long")
     return made.select(
         "doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 

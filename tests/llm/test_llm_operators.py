@@ -333,6 +333,28 @@ def test_media(odd, none):
     assert media.mulaw_table()[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and media.alaw_table()[[0x2A, 0xAA, 0x55, 0xD5]].tolist() == [-32256, 32256, -8, 8]
 
 
+def test_features_equal_a_plain_version():
+    draw = np.random.default_rng(15)
+    payloads = [bytes(draw.integers(0, 256, 64 * n).astype(np.uint8)) for n in (1, 2, 5)] + [bytes(64), b"a" * 64]
+    lines, sound = media.described(payloads)
+    taps = [int(x) for x in media.between_taps()]
+    assert sum(taps) == 32768 and taps == taps[::-1]
+    for payload, line, pcm in zip(payloads, lines, sound, strict=True):
+        heard = [int(media.mulaw_table()[b]) for b in payload]
+        blocks = [int(x) for x in media.adpcm(np.frombuffer(payload, np.uint8).reshape(-1, 64)).ravel()]
+        told = []
+        for name, run in (("mulaw", heard), ("alaw", [int(media.alaw_table()[b]) for b in payload]), ("adpcm", blocks)):
+            told.append(f"{name}={sum(x * x for x in run)},{max(map(abs, run))},{sum((x < 0) != (y < 0) for x, y in zip(run, run[1:]))}")
+        want = []
+        for i, x in enumerate(heard):
+            near = [heard[min(max(i + k, 0), len(heard) - 1)] for k in range(1 - media.REACH, media.REACH + 1)]
+            want += [x, min(32767, max(-32768, (sum(t * y for t, y in zip(taps, near, strict=True)) + 16384) >> 15))]
+        assert pcm.tolist() == want and line == f"{' '.join(told)} pcm={len(want)},{zlib.crc32(np.array(want, '<i2').tobytes()):08x}"
+    tone = (8000 * np.sin(2 * np.pi * 440 * np.arange(800) / 8000)).astype(np.int16)
+    true = 8000 * np.sin(2 * np.pi * 440 * np.arange(1600) / 16000)
+    assert np.abs(media.doubled(tone)[100:-100] - true[100:-100]).max() < 40
+
+
 def test_adpcm_equals_a_plain_decoder():
     blocks = np.random.default_rng(4).integers(0, 256, (50, 64)).astype(np.uint8)
     for block, got in zip(blocks, media.adpcm(blocks), strict=True):
