@@ -66,7 +66,7 @@ class Bins:
         return held
 
 
-#: Chunks of these characters alone, on whose classes all Unicode tables agree, may go to the faster library.
+#: Texts of these characters alone, on whose classes all Unicode tables agree, may go to the faster library.
 _COMMON = re.compile("[\n\r\t -~\u00a1-\u024f]*")
 #: The split that ByteLevel stands for.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -79,6 +79,7 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
 def _merger(path: str):
     """tiktoken's encoder of the file's merges, if its tokens are numbered in the order of merges; else None."""
     import tiktoken
@@ -136,6 +137,16 @@ def _encoder(path: str) -> Memo:
     return Memo(encode)
 
 
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of texts: those of common characters go to tiktoken whole, others through the memo."""
+    fast = _merger(path)
+    out = [np.array(fast.encode_ordinary(t), "<u4").tobytes() if fast and _COMMON.fullmatch(t) else None for t in texts]
+    rest = [i for i, ids in enumerate(out) if ids is None]
+    for i, ids in zip(rest, _encoder(path).ids([texts[i] for i in rest]) if rest else [], strict=True):
+        out[i] = ids
+    return out
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids binary): every text's tokens and the end id, cut only if over ``capacity``.
 
@@ -148,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [x + last for x in _encoder(tokenizer).ids([t or "" for t in batch.column(1).to_pylist()])]
+            made = [x + last for x in token_ids([t or "" for t in batch.column(1).to_pylist()], tokenizer)]
             rows, pieces, starts, parts = [], [], [], []
             for i, ids in enumerate(made):
                 total = len(ids) // 4
