@@ -29,7 +29,7 @@ CLUSTERED, CLASSES, ENDING, FREQUENT = 1024, 32, 4, 1 << 20
 SWEEPS, FLOOR, WORDS = 2, 0.5, 8192
 #: Added to a word's count within its class, and the weight of the class's own frequency in a transition.
 DELTA, ALPHA = 0.5, 8.0
-FLUSH = 300_000
+FLUSH = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -175,7 +175,7 @@ def context_counts(texts: DataFrame, coded: Callable[[list[bytes]], tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, width = frequent(), CLASSES + 1
-        table = np.zeros(len(names) * width, np.int64)
+        table = np.zeros(len(names) * width, np.int32)
         held: Counter = Counter()
 
         def out(words: list[bytes], before: list[int] | np.ndarray, times: list[int] | np.ndarray) -> pa.RecordBatch:
