@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.bpe import slices
 from factweave.llm.neardup import mixed, word_hashes
-from factweave.llm.shared import for_python, stored
+from factweave.llm.shared import for_python, scratch, stored
 
 #: Least words of a line and of a passage; words of a window, and windows of which one is chosen.
 LINE_WORDS, PASSAGE_WORDS, SPAN, CHOICE = 20, 50, 25, 25
@@ -90,13 +90,14 @@ def _units(docs: DataFrame, kind: str, least: int) -> DataFrame:
 
 def _again(units: DataFrame) -> DataFrame:
     """(doc, place, n, hash, source, source_place, other) for windows that an earlier document has: the smallest such id, its first place, and whether there are more such documents or places. n: words of doc."""
-    spread = units.select("doc", "n", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
-    first = spread.groupBy("hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("hash", "source")
-    shared = stored(spread.join(first, "hash"), "repeat-windows")
-    own, later = F.col("doc") == F.col("source"), F.col("doc") > F.col("source")
-    place = shared.groupBy("hash").agg(F.min(F.when(own, F.col("place"))).alias("source_place"), F.max(F.when(own, F.col("place"))).alias("source_last"), F.min(F.when(later, F.col("doc"))).alias("second"))
-    again = shared.where(later).join(place, "hash").withColumn("other", (F.col("doc") > F.col("second")) | (F.col("source_last") > F.col("source_place")))
-    return again.select("doc", "place", "n", "hash", "source", "source_place", "other").distinct()
+    with scratch(units.sparkSession) as result:
+        spread = units.select("doc", "n", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
+        first = spread.groupBy("hash").agg(F.min("doc").alias("source"), F.max("doc").alias("last")).where("source < last").select("hash", "source")
+        shared = stored(spread.join(first, "hash"), "repeat-windows")
+        own, later = F.col("doc") == F.col("source"), F.col("doc") > F.col("source")
+        place = shared.groupBy("hash").agg(F.min(F.when(own, F.col("place"))).alias("source_place"), F.max(F.when(own, F.col("place"))).alias("source_last"), F.min(F.when(later, F.col("doc"))).alias("second"))
+        again = shared.where(later).join(place, "hash").withColumn("other", (F.col("doc") > F.col("second")) | (F.col("source_last") > F.col("source_place")))
+        return result(again.select("doc", "place", "n", "hash", "source", "source_place", "other").distinct(), "repeat-again")
 
 
 def _runs(again: DataFrame, width: int) -> DataFrame:
@@ -190,16 +191,18 @@ def _stretched(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def _made(runs: DataFrame, plain: DataFrame, kind: str) -> DataFrame:
-    """The verified and extended stretches of the runs."""
-    runs = stored(runs, "repeat-runs")
-    ends = F.col("source_begin") + F.col("end") - F.col("begin")
-    wanted = runs.select("doc", "begin", "end", F.lit(True).alias("own")).union(runs.select("source", "source_begin", ends.cast("int"), F.lit(False)))
-    wanted = wanted.groupBy("doc", "begin", "end").agg(F.bool_or("own").alias("own"))
-    wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "own")).alias("wanted")), "repeat-wanted")
-    contexts = stored(_contexts(plain.join(wanted, "doc").select("doc", "text", "wanted"), kind), "repeat-contexts").dropDuplicates(["doc", "begin", "end"])
-    source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("digest").alias("source_digest"), F.col("left").alias("source_left"), F.col("right").alias("source_right"), F.col("starts").alias("source_starts"))
-    pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"]).where("digest = source_digest")
-    return _stretched(pairs.select("doc", "begin", "end", "left", "right", "starts", "ends", "source", "source_left", "source_right", "source_starts"), kind)
+    """The verified and extended stretches of the runs. The texts are dealt by id at every size."""
+    with scratch(plain.sparkSession) as result:
+        runs = stored(runs, "repeat-runs")
+        ends = F.col("source_begin") + F.col("end") - F.col("begin")
+        wanted = runs.select("doc", "begin", "end", F.lit(True).alias("own")).union(runs.select("source", "source_begin", ends.cast("int"), F.lit(False)))
+        wanted = wanted.groupBy("doc", "begin", "end").agg(F.bool_or("own").alias("own"))
+        wanted = stored(wanted.groupBy("doc").agg(F.collect_list(F.struct("begin", "end", "own")).alias("wanted")), "repeat-wanted")
+        contexts = stored(_contexts(plain.join(wanted.hint("merge"), "doc").select("doc", "text", "wanted"), kind), "repeat-contexts").dropDuplicates(["doc", "begin", "end"])
+        source = contexts.select(F.col("doc").alias("source"), F.col("begin").alias("source_begin"), F.col("end").alias("source_end"), F.col("digest").alias("source_digest"), F.col("left").alias("source_left"), F.col("right").alias("source_right"), F.col("starts").alias("source_starts"))
+        pairs = runs.withColumn("source_end", ends.cast("int")).join(contexts, ["doc", "begin", "end"]).join(source, ["source", "source_begin", "source_end"]).where("digest = source_digest")
+        made = _stretched(pairs.select("doc", "begin", "end", "left", "right", "starts", "ends", "source", "source_left", "source_right", "source_starts"), kind)
+        return result(made, "repeat-made")
 
 
 def _grouped(made: DataFrame) -> DataFrame:
@@ -222,6 +225,11 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     an id are one document; other columns are ignored; no rows give no rows.
     """
     for_python(docs.sparkSession)
+    with scratch(docs.sparkSession) as result:
+        return result(_repeats(docs, id_column, text_column, line_words, passage_words), "repeats")
+
+
+def _repeats(docs: DataFrame, id_column: str, text_column: str, line_words: int, passage_words: int) -> DataFrame:
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")).where("doc is not null")
     units = stored(_units(plain, kind, line_words), "repeat-units")
@@ -230,8 +238,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     first = lines.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first < last").select("digest", "first")
     lines = lines.join(first, "digest").where("struct(doc, start) > first").select("doc", "start", "end", F.lit("line").alias("kind"), F.col("words").alias("n_words"), F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")).distinct()
 
-    again = stored(_again(units), "repeat-again")
-    made = stored(_made(_runs(again, SPAN), plain, kind), "repeat-made")
+    again = _again(units)
+    made = _made(_runs(again, SPAN), plain, kind)
     # Where the chosen source's stretch ends and others have the window, all windows of a whole passage get a source of their own.
     width = max(passage_words, SPAN + CHOICE - 1)
     covered = stored(_grouped(made).where(F.col("together") >= passage_words).groupBy("doc", "group").agg(F.min("word").alias("low"), F.max(F.col("word") + F.col("n_words")).alias("high")), "repeat-covered")
@@ -239,7 +247,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     open_hashes = stored(_outside(again.where("other"), covered, left, right).select("hash").distinct(), "repeat-open")
     spread = units.select("doc", F.inline(F.arrays_zip("places", "hashes"))).withColumnsRenamed({"places": "place", "hashes": "hash"})
     near = spread.join(open_hashes, "hash", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("wanted"))
-    wide = stored(_wide_units(plain.join(stored(near, "repeat-near"), "doc").select("doc", "text", "wanted"), kind, width), "repeat-wide").dropDuplicates(["doc"])
+    wide = stored(_wide_units(plain.join(stored(near, "repeat-near").hint("merge"), "doc").select("doc", "text", "wanted"), kind, width), "repeat-wide").dropDuplicates(["doc"])
     further = _outside(_again(wide), covered, F.col("place"), F.col("place") + width)
     made = _grouped(made.union(_made(_runs(further, width), plain, kind)))
     passages = made.where(F.col("together") >= passage_words).select("doc", "start", "end", F.lit("passage").alias("kind"), "n_words", "first_doc", "first_start").distinct()
@@ -247,17 +255,25 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def cleaned(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with the spans of repeats() cut out of their texts; the original offsets that remain are in ``kept_spans``."""
-    cuts = spans.groupBy(id_column).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    start = F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("kept"), F.lit(0).cast("long").alias("at"))
+    """docs with the spans of repeats() cut out of their texts; the original offsets that remain are in ``kept_spans``.
+
+    A column kept_spans of docs is replaced; other columns may have any names. A null text stays null.
+    """
+    one = "array<struct<start:bigint,end:bigint>>"
+    none = F.array().cast(one)
+    docs = docs.drop("kept_spans")
+    cuts = spans.groupBy(F.col(id_column).alias("cut_id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_column).alias("own_id"))
 
     def step(state, cut):
-        piece = F.when(cut["start"] > state["at"], F.array(F.struct(state["at"].alias("start"), cut["start"].alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
+        piece = F.when(cut["start"] > state["at"], F.array(F.struct(state["at"].alias("start"), cut["start"].alias("end")))).otherwise(none)
         return F.struct(F.concat(state["kept"], piece).alias("kept"), F.greatest(state["at"], cut["end"]).alias("at"))
 
-    size = F.length(text_column).cast("long")
-    joined = docs.join(cuts, id_column, "left").withColumn("_state", F.aggregate(F.coalesce("_cuts", F.array().cast("array<struct<start:bigint,end:bigint>>")), start, step))
-    tail = F.when(size > F.col("_state.at"), F.array(F.struct(F.col("_state.at").alias("start"), size.alias("end")))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    joined = joined.withColumn("kept_spans", F.concat("_state.kept", tail))
-    text = F.when(F.col("_cuts").isNull(), F.col(text_column)).otherwise(F.array_join(F.transform("kept_spans", lambda s: F.substring(text_column, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), ""))
-    return joined.withColumn(text_column, text).select(*docs.columns, "kept_spans")
+    whole = F.col("row")[text_column]
+    size = F.length(whole).cast("long")
+    start = F.struct(none.alias("kept"), F.lit(0).cast("long").alias("at"))
+    joined = rows.join(cuts, F.col("own_id") == F.col("cut_id"), "left").withColumn("state", F.aggregate(F.coalesce("cuts", none), start, step))
+    tail = F.when(size > F.col("state.at"), F.array(F.struct(F.col("state.at").alias("start"), size.alias("end")))).otherwise(none)
+    joined = joined.withColumn("kept", F.concat("state.kept", tail))
+    text = F.when(F.col("cuts").isNull(), whole).otherwise(F.array_join(F.transform("kept", lambda s: F.substr(whole, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), ""))
+    return joined.select(*[text.alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns], F.col("kept").alias("kept_spans"))
