@@ -137,8 +137,8 @@ def learned(docs: DataFrame, training: Column, per_language: int = 600, id_colum
 
 
 def least_score(model: Model) -> float:
-    """A little over what a text without any known n-gram scores: each language's equal share."""
-    return 1.1 / len(model.languages)
+    """A little over an equal share for each language: a text that scores no more tells none of them apart."""
+    return 1.05 / len(model.languages)
 
 
 def labelled(docs: DataFrame, model: Model | None, keep: list[str], text_column: str = "text") -> DataFrame:

@@ -78,10 +78,11 @@ def _units(docs: DataFrame, kind: str, least: int) -> DataFrame:
             words = [word_hashes(t) for t in texts]
             sizes, windows = [len(w) for w in words], [chosen_windows(w) for w in words]
             lines = [lines_of(t, least) for t in texts]
-            one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64()), ("digest", pa.binary())])
-            told = [[dict(zip(("start", "end", "words", "digest"), x, strict=True)) for x in doc] for doc in lines]
+            flat = list(zip(*[x for doc in lines for x in doc], strict=True)) or [(), (), (), ()]
+            units = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["start", "end", "words", "digest"])
+            told = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lines)]), pa.int32()), units)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array([p for p, _ in windows], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in windows], pa.list_(pa.int64())), pa.array(told, pa.list_(one))],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array([p for p, _ in windows], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in windows], pa.list_(pa.int64())), told],
                 ["doc", "n", "places", "hashes", "lines"],
             )
 
