@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is told; a null lang becomes the language found, others stay.
 
     Texts that are null or have no letter go, and so do texts that tell no language: their best score is hardly
-    over an equal share for each language. Where no row has a label there is nothing to learn from, and all texts
+    over an equal share for each language (a text in a script that no learned language has can score a little more). Where no row has a label there is nothing to learn from, and all texts
     with a letter stay. Documents of which the sample learns are judged like all others. Rows may repeat.
     """
     model = langid.learned(docs, F.coalesce(row_remainder("doc_id", 5) != 0, F.lit(True)))
