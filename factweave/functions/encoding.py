@@ -16,6 +16,7 @@ NULL, INTEGER, REAL, TEXT, BLOB = "00", "01", "02", "03", "04"
 #: The layout of a frame: magic, header length (4 bytes), payload length (8), header, payload, SHA-256 of all before.
 MAGIC, FRAME_VERSION = b"FWJRNL01", 1
 PREFIX_BYTES, HEADER_BYTES, CHECKSUM_BYTES = 20, 51, 32
+SEAL_MAGIC = b"FWSEAL01"
 MIN_FRAME_BYTES, MAX_HEADER_BYTES, MAX_FRAME_BYTES = PREFIX_BYTES + CHECKSUM_BYTES, 1 << 10, 64 << 20
 
 
@@ -85,6 +86,30 @@ def database_digest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> Da
     return each.agg(sha256(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["x"]), "")).alias("digest"))
 
 
+def sealed(schema: Column, payload: Column) -> Column:
+    """An envelope that binds a payload to its schema number and its digest: magic, schema (4 bytes), payload length (8), payload, SHA-256 of the payload."""
+    data = payload.cast("binary")
+    return F.unhex(F.concat(F.lit(SEAL_MAGIC.hex()), number_hex(schema, 4), sized_hex(data), F.sha2(data, 256)))
+
+
+def sealed_fields(data: Column) -> Column:
+    """struct(schema, payload, digest) of an envelope, whose digest need not hold; null if the layout does not, or bytes follow."""
+    size, head = F.octet_length(data), len(SEAL_MAGIC) + 12
+    length = _number(data, len(SEAL_MAGIC) + 4, 8)
+    whole = (size >= head + CHECKSUM_BYTES) & (F.substring(data, 1, len(SEAL_MAGIC)) == F.lit(SEAL_MAGIC)) & (length == size - head - CHECKSUM_BYTES)
+    fields = F.struct(
+        _number(data, len(SEAL_MAGIC), 4).cast("long").alias("schema"), data.substr(F.lit(head + 1), size - (head + CHECKSUM_BYTES)).alias("payload"),
+        F.lower(F.hex(data.substr(size - CHECKSUM_BYTES + 1, F.lit(CHECKSUM_BYTES)))).alias("digest"),
+    )
+    return F.when(whole, fields)
+
+
+def sealed_outcome(data: Column, schema: int) -> Column:
+    """Malformed, UnknownSchema, DigestMismatch or Valid, in this order: a foreign schema is told before a forged digest."""
+    found = sealed_fields(data)
+    return F.when(found.isNull(), "Malformed").when(found["schema"] != schema, "UnknownSchema").when(F.sha2(found["payload"], 256) != found["digest"], "DigestMismatch").otherwise("Valid")
+
+
 def frame(device: Column, sequence: Column, kind: Column, payload: Column) -> Column:
     """A journal frame: whole numbers device and sequence, a kind of one byte, and the payload, as binary."""
     data = payload.cast("binary")

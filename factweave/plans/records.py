@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factweave.functions import encoding
 from factweave.operators import authenticated, causality, compaction, reads, search, snapshot
 from factweave.plans.catalog import VIEWS, registered
-from factweave.sources import files, journal
+from factweave.sources import files, journal, stores
 from factweave.sources.facts import Facts
 from factweave.sources.schemas import integrity
 from factweave.sources.staging import stage_folder
@@ -513,3 +513,40 @@ def _(f: Facts) -> DataFrame:
     me = F.col("event_id")
     events = table(f.spark, f.folder, "events")
     return compaction.unreachable(events.select(me.alias("run_id"), (me % 3 == 0).alias("leased")), events.where(me % 10 == 0).select(me.alias("run_id")))
+
+
+@registered(
+    "q95_sealed_outcomes",
+    "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'DigestMismatch' WHEN 1 THEN 'UnknownSchema' WHEN 2 THEN 'Malformed' ELSE 'Valid' END AS outcome, CASE WHEN event_id % 5 > 2 THEN props END AS payload FROM events",
+)
+def _(f: Facts) -> DataFrame:
+    n, whole = F.col("event_id") % 5, F.col("whole")
+    size = F.octet_length(whole)
+    envelope = encoding.sealed(F.when(n < 2, 8).otherwise(7), F.col("props"))
+    # The first kind has the right schema over a payload that was changed; the second another schema, the third a byte too many.
+    forged = F.concat(F.lit(encoding.SEAL_MAGIC), F.unhex(F.lit("00000007")), whole.substr(F.lit(13), size - 13), F.unhex(F.when(whole.substr(size, F.lit(1)) == F.unhex(F.lit("00")), "01").otherwise("00")))
+    data = F.when(n == 0, forged).when(n == 2, F.concat(whole, F.unhex(F.lit("00")))).otherwise(whole)
+    told = table(f.spark, f.folder, "events").withColumn("whole", envelope).select("event_id", data.alias("data")).withColumn("outcome", encoding.sealed_outcome(F.col("data"), 7))
+    return told.select("event_id", "outcome", F.when(F.col("outcome") == "Valid", encoding.sealed_fields(F.col("data"))["payload"].cast("string")).alias("payload"))
+
+
+@registered("q96_packs", "SELECT digest, content FROM (SELECT DISTINCT sha256(text) AS digest, text AS content FROM documents WHERE text IS NOT NULL)")
+def _(f: Facts) -> DataFrame:
+    held, docs = stores.Packs(f.spark, stage_folder(f.spark)), table(f.spark, f.folder, "documents").select("doc_id", "text")
+    for part in range(6):  # texts that are in two packs, and a merge of the oldest
+        held.add(docs.where((F.col("doc_id") % 6 == part) | (F.col("doc_id") % 60 == 0)), "text")
+    while held.compact():
+        pass
+    return held.read().select("digest", F.col("content").cast("string").alias("content"))
+
+
+@registered(
+    "q97_levels_store",
+    "SELECT key, value, generation FROM (SELECT key, arg_max(v, part) AS v, max(part) + 1 AS generation FROM (SELECT user_id AS key, event_id % 5 AS part, {'v': max(CASE WHEN user_id % 7 <> event_id % 5 THEN event_type END)} AS v FROM events GROUP BY 1, 2) GROUP BY key) CROSS JOIN LATERAL (SELECT v.v AS value) WHERE value IS NOT NULL",
+)
+def _(f: Facts) -> DataFrame:
+    held, me = stores.Levels(f.spark, stage_folder(f.spark)), F.col("event_id")
+    for part in range(5):
+        few = table(f.spark, f.folder, "events").where(me % 5 == part)
+        held.insert_many(few.groupBy(F.col("user_id").alias("key")).agg(F.max(F.when(F.col("user_id") % 7 != part, F.col("event_type"))).alias("value")))
+    return held.read()

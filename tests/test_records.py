@@ -243,3 +243,52 @@ def test_manifest_json_is_canonical(spark):
     assert json.loads(text) == {"version": 1, "batch_id": 1, "counter": 2, "heads": [3, 4]}
     for written, outcome in ((text, "Canonical"), (text + " ", "NonCanonical"), ("{", "Malformed"), (text.replace("1", "x", 1), "Malformed")):
         assert causality.canonical_outcome(df.withColumn("t", F.lit(written)), "t").first()["outcome"] == outcome
+
+
+def test_packs_are_found_by_their_head_alone(spark):
+    from factweave.sources import stores
+
+    folder = stage_folder(spark)
+    held = stores.Packs(spark, folder)
+    assert held.read().count() == 0 and held.get(["0"]) == {} and not held.compact()
+    text = [f"record {i}".encode() for i in range(40)]
+    digest = [hashlib.sha256(t).hexdigest() for t in text]
+    before = held.catalog()
+    for i in range(6):
+        held.add(spark.createDataFrame([(t,) for t in text[i * 6 : i * 6 + 8]] + [(None,)], "content binary"))
+    with pytest.raises(limits.Stale):
+        held.advance(before, [])
+    assert len(held.plan()) == 5 and held.compact() and not held.compact()
+    assert [e["rows"] for e in held.catalog()["entries"]] == [32, 8] and held.catalog()["generation"] == 7
+    assert rows(held.read()) == sorted(((d, bytearray(t)) for d, t in zip(digest[:38], text[:38], strict=True)), key=repr)
+    assert held.get([digest[3], digest[39]]) == {digest[3]: text[3]}
+    assert {r["digest"]: r["content"] is None for r in held.lookup(spark.createDataFrame([(digest[3],), (digest[39],)], "digest string")).collect()} == {digest[3]: False, digest[39]: True}
+    assert len(held.reclaim()) == 5 and held.reclaim() == [] and held.read().count() == 38
+    forged = held._read(held.catalog()["entries"]).where(F.col("digest") == digest[0]).withColumn("content", F.lit(b"x"))
+    forged.write.mode("append").parquet(held.path(held.catalog()["entries"][1]))
+    with pytest.raises(Exception, match="Corrupt"):
+        held.get([digest[0], *digest[30:34]])
+
+
+def test_levels_carry_like_a_binary_number(spark):
+    from factweave.sources import stores
+
+    held, plain = stores.Levels(spark, stage_folder(spark)), {}
+    assert held.read().count() == 0 and held.lookup("a") is None
+    for n in range(1, 8):
+        new = {f"k{n % 3}": f"v{n}", f"k{n}": None if n % 2 else "x"}
+        held.insert_many(spark.createDataFrame(list(new.items()), "key string, value string"))
+        plain |= new
+        assert sorted(e["level"] for e in held.catalog()["entries"]) == [b for b in range(3) if n >> b & 1]
+    assert {r["key"]: r["value"] for r in held.read(deletions=True).collect()} == plain and held.lookup("k2") == plain["k2"]
+    with pytest.raises(Exception, match="Contradiction"):
+        held.insert_many(spark.createDataFrame([("a", "1"), ("a", "2")], "key string, value string"))
+    assert held.catalog()["generation"] == 7
+
+
+def test_sealed_payloads_tell_what_is_wrong(spark):
+    df = spark.createDataFrame([(b"",), (b"abc",)], "p binary").select("p", encoding.sealed(F.lit(7), F.col("p")).alias("x"))
+    for r in df.collect():
+        x, outcome = bytes(r["x"]), lambda b, schema=7: spark.createDataFrame([(b,)], "x binary").select(encoding.sealed_outcome(F.col("x"), schema)).first()[0]
+        assert outcome(x) == "Valid" and outcome(x, 8) == "UnknownSchema" and outcome(x[:-1]) == outcome(x + b"0") == outcome(b"") == outcome(None) == "Malformed"
+        assert all(outcome(x[:i] + bytes([x[i] ^ 1]) + x[i + 1 :]) != "Valid" for i in (0, 10, 15, len(x) - 1))
