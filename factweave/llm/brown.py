@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,16 +112,16 @@ class Classes:
 
     def sequence(self, words: list[bytes], memo: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """Codes (-1: not frequent) and classes."""
-        codes = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        codes = np.fromiter((self.codes.get(w, -1) for w in words), np.int64, len(words))
         kinds = self.of_code[codes] if len(self.of_code) else np.zeros(len(words), int)
-        places = np.flatnonzero(codes < 0)
-        if len(places):
-            rest = [words[i] for i in places.tolist()]
-            if len(memo) > FLUSH:
-                memo.clear()
-            for word in set(rest) - memo.keys():
-                memo[word] = self.of(word)
-            kinds[places] = [memo[word] for word in rest]
+        for i in np.flatnonzero(codes < 0):
+            word = words[i]
+            kind = memo.get(word)
+            if kind is None:
+                if len(memo) > FLUSH:
+                    memo.clear()
+                kind = memo[word] = self.of(word)
+            kinds[i] = kind
         return codes, kinds
 
 
@@ -187,19 +186,18 @@ def context_counts(texts: DataFrame, coded: Callable[[list[bytes]], tuple[np.nda
             return out(words, before, list(held.values()))
 
         for batch in slices(batches):
-            texts = [words_of(text) for text in batch.column(1).to_pylist()]
-            stops = np.cumsum([len(words) + 1 for words in texts])
-            words = list(chain.from_iterable((*words, b"") for words in texts))  # b"" is a text's end, and no word
-            codes, own = coded(words)
-            own[stops - 1] = CLASSES  # before a text's first word stands the end
-            before = np.concatenate([[CLASSES], own[:-1]])
-            there = codes >= 0
-            np.add.at(table, codes[there] * width + before[there], 1)
-            places = np.flatnonzero(~there).tolist()
-            held.update(zip([words[i] for i in places], before[places].tolist(), strict=True))
-            if len(held) > FLUSH:
-                yield rest()
-                held.clear()
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                codes, own = coded(words)
+                before = np.concatenate([[CLASSES], own])
+                there = codes >= 0
+                np.add.at(table, codes[there] * width + before[:-1][there], 1)
+                places = np.flatnonzero(~there)
+                held.update(zip([words[i] for i in places], before[places].tolist(), strict=True))
+                held[b"", int(before[-1])] += 1
+                if len(held) > FLUSH:
+                    yield rest()
+                    held.clear()
         if held:
             yield rest()
         some = np.flatnonzero(table)
@@ -302,7 +300,7 @@ def _scored(docs: DataFrame, training: Column, id_column: str, text_column: str)
 
     def neighbours(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = shared.value
-        code = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        code = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
         code = np.concatenate([[clustered], code, [clustered]])
         there = (code[:-1] >= 0) & (code[1:] >= 0)
         return code[:-1][there], code[1:][there]
