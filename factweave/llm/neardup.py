@@ -11,6 +11,9 @@ members of other components. Last, within each bucket that still holds several c
 the bucket's largest component is compared with all texts of other components, so no link between components
 is lost. Buckets are cut into blocks for that, and each pair comes out of one bucket only. In all steps parity
 marks rule out, without loss, most pairs that are no links before their shingles are fetched.
+
+All joins are sort-merge joins by hint. Spark takes an exploded array for one row and a table for the size of its
+compressed file, so by itself it would send tables to the driver that are many times what it allows for.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ BANDS, ROWS = 24, 5
 BLOCK = 1024
 #: 64-bit words of a parity mark.
 MARK = 16
+#: Pairs whose ends alone are sent to the shingles, which then need not all be dealt out.
+FEW_PAIRS = 16_384
 _MARK_TYPE = f"struct<n: long, total: long, {', '.join(f'm{i}: long' for i in range(MARK))}>"
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -183,7 +188,7 @@ def _shingle_sets(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(a, b, near) for the pairs (a, b)."""
+    """(a, b, near) for the pairs (a, b), which are stored."""
 
     def unpacked(hashes: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
         h = np.frombuffer(hashes, np.uint64)
@@ -194,9 +199,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
             near = [similarity(unpacked(*row[:2]), unpacked(*row[2:])) >= threshold for row in zip(*[batch.column(c).to_pylist() for c in range(2, 6)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
+    if pairs.count() <= FEW_PAIRS:
+        ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        sets = sets.join(F.broadcast(ends), "doc", "left_semi")
     left = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     right = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb")
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ha", "wa", "hb", "wb")
     return joined.mapInArrow(run, f"a {kind}, b {kind}, near boolean")
 
 
@@ -204,7 +212,7 @@ def _plausible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFram
     """The pairs (a, b) that their marks do not rule out."""
     one, two = (marks.select(F.col("doc").alias(c), F.col("mark").alias(f"mark_{c}")) for c in "ab")
     near = may_be_near(F.col("mark_a"), F.col("mark_b"), threshold)
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where(near).select("a", "b")
 
 
 def _ordered(one: Column, two: Column) -> list[Column]:
@@ -213,9 +221,9 @@ def _ordered(one: Column, two: Column) -> list[Column]:
 
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries with their component, of buckets that hold more than one; a text without links is its own component."""
-    now = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("label"))
+    now = entries.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("label"))
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return stored(now.join(stored(mixed, "near-mixed"), "key"), "near-apart")
+    return stored(now.join(stored(mixed, "near-mixed").hint("merge"), "key"), "near-apart")
 
 
 def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -226,7 +234,7 @@ def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFram
     """
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
     sizes = stored(sizes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("columns")), "near-sizes")
-    known = now.join(sizes, "key").join(marks, "doc")
+    known = now.join(sizes.hint("merge"), "key").join(marks.hint("merge"), "doc")
     draw = F.xxhash64("doc")
     row, column = F.pmod(draw, "rows").cast("int"), F.pmod(draw, "columns").cast("int")
     one = known.where("label <> major").select("key", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("doc").alias("x"), F.col("label").alias("label_x"), F.col("mark").alias("mark_x"), F.col("bands").alias("bands_x"))
@@ -234,7 +242,7 @@ def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFram
     # Both in the smallest bucket that they share: the pair comes from there alone.
     here = F.array_min(F.array_intersect("bands_x", "bands_y")) == F.col("key")
     differ = (F.col("label_x") != F.col("label_y")) & (F.col("is_major") | (F.col("x") < F.col("y")))
-    met = stored(one, "near-one").join(stored(two, "near-two"), ["key", "row", "column"])
+    met = stored(one, "near-one").join(stored(two, "near-two").hint("merge"), ["key", "row", "column"])
     return met.where(differ & may_be_near(F.col("mark_x"), F.col("mark_y"), threshold) & here).select(*_ordered(F.col("x"), F.col("y")))
 
 
@@ -242,11 +250,11 @@ def _labels(texts: DataFrame, docs: DataFrame, threshold: float, kind: str) -> D
     """(node, root) for the texts that have a link; docs: (doc, text), for the shingles of the texts in shared buckets."""
     spread = texts.select("doc", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = stored(spread.join(shared, "key"), "near-buckets")
+    entries = stored(spread.join(shared.hint("merge"), "key"), "near-buckets")
     weight = stored(entries.groupBy("doc").agg(F.sum("n").alias("weight")), "near-weights")
-    entries = stored(entries.join(weight, "doc").select("key", "doc", "weight"), "near-entries")
-    marks = stored(texts.join(weight.select("doc"), "doc", "left_semi").select("doc", "mark", "bands"), "near-marks")
-    sets = stored(_shingle_sets(docs.join(weight.select("doc"), "doc", "left_semi"), kind), "near-sets")
+    entries = stored(entries.join(weight.hint("merge"), "doc").select("key", "doc", "weight"), "near-entries")
+    marks = stored(texts.join(weight.select("doc").hint("merge"), "doc", "left_semi").select("doc", "mark", "bands"), "near-marks")
+    sets = stored(_shingle_sets(docs.join(weight.select("doc").hint("merge"), "doc", "left_semi"), kind), "near-sets")
     if not sets.groupBy("doc").count().where("count > 1").isEmpty():  # ids that repeat
         sets = stored(sets.dropDuplicates(["doc"]), "near-sets")
 
@@ -255,13 +263,13 @@ def _labels(texts: DataFrame, docs: DataFrame, threshold: float, kind: str) -> D
         return components(told if labels is None else told.union(labels.where("node <> root").select("node", "root")), "near-components")
 
     heads = stored(entries.groupBy("key").agg(F.max(F.struct("weight", "doc")).alias("top")), "near-heads")
-    met = entries.join(heads, "key").where(F.col("doc") != F.col("top.doc"))
+    met = entries.join(heads.hint("merge"), "key").where(F.col("doc") != F.col("top.doc"))
     best = met.groupBy("doc").agg(F.max("top").alias("top")).select(*_ordered(F.col("doc"), F.col("top.doc"))).distinct()
     labels = joined(_plausible(best, marks, threshold), None)
 
     now = _apart(entries, labels)
-    tops = stored(heads.select("key", F.col("top.doc").alias("doc")).join(now, ["key", "doc"]).select("key", F.col("doc").alias("head"), F.col("label").alias("head_label")), "near-tops")
-    other = now.join(tops, "key").where("label <> head_label").select(*_ordered(F.col("doc"), F.col("head"))).distinct()
+    tops = stored(heads.select("key", F.col("top.doc").alias("doc")).join(now.hint("merge"), ["key", "doc"]).select("key", F.col("doc").alias("head"), F.col("label").alias("head_label")), "near-tops")
+    other = now.join(tops.hint("merge"), "key").where("label <> head_label").select(*_ordered(F.col("doc"), F.col("head"))).distinct()
     labels = joined(_plausible(other, marks, threshold), labels)
     return joined(_block_pairs(_apart(now.select("key", "doc"), labels), marks, threshold), labels)
 
@@ -281,9 +289,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
         named = sketches.where("doc_id is not null and same is not null")
         texts = stored(named.groupBy("same").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("mark", "doc_id").alias("mark"), F.count("*").alias("copies")), "near-texts")
         labels = _labels(texts, docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")), threshold, kind)
-        known = texts.select("same", "doc", "copies").join(labels.withColumnRenamed("node", "doc"), "doc", "left").where("copies > 1 or root is not null")
+        known = texts.select("same", "doc", "copies").join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").where("copies > 1 or root is not null")
         known = stored(known.select("same", F.coalesce("root", "doc").alias("class")), "near-classes")
-        out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known, "same", "left")
+        out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known.hint("merge"), "same", "left")
         found = F.coalesce("class", "doc_id")
         return result(out.select(F.col("doc_id").alias(id_column), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "near-result")
 

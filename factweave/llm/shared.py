@@ -95,7 +95,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Alternating large-star and small-star rounds on distinct edges: each node's neighbours are re-hung under
     the smallest of them, which needs logarithmically many rounds and at most one row for each edge. A hub's
-    rows meet only in a sort-merge join, whose hot side Spark splits, and in pre-aggregated minima.
+    rows meet only in a sort-merge join, whose hot side Spark splits, and in pre-aggregated minima. The joins are
+    so by hint, as the files' compressed size says little of what a broadcast would take in the driver.
     Null ends and loops are ignored; no edges give no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -106,10 +107,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
             break
         both = state.union(state.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.union(low.select("a", "m")).distinct(), name)
         now = _mark(after)
         dropped(state)

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, brown, exact, langid, linedup, media, neardup, packing, pii, queries, urls
+from factweave.llm import bpe, brown, exact, langid, linedup, media, neardup, packing, pii, queries, shared, urls
 from factweave.llm.shared import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -161,6 +161,25 @@ def test_large_near_group_meets_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("few", [-1, 16_384])
+def test_near_duplicates_send_no_table_to_the_driver(spark, monkeypatch, few):
+    """Broadcasts are allowed to be 10 MB here; by its estimate Spark took the exploded bands of all texts for less, whatever their number."""
+    plans = []
+
+    def spied(df, name, stored=shared.stored):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(neardup, "FEW_PAIRS", few)
+    monkeypatch.setattr(neardup, "stored", spied)
+    monkeypatch.setattr(shared, "stored", spied)
+    texts = [" ".join(f"w{i % 60}x{k}" for k in range(40)) + " end" * (i // 60) for i in range(120)] + ["a text of its own"]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i % 60 for i in range(120)} | {120: 120}
+    assert {n for n, _ in plans} >= {"near-buckets", "near-entries", "near-told", "near-components", "near-result"}
+    assert {n for n, p in plans if "Broadcast" in p} == ({"near-told"} if few > 0 else set())
+
+
 def test_exact_rows(odd, none):
     out = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.classes(odd).collect()}
     assert out == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 5, 3, False), (5, 5, 3, True), (None, None, 1, True), (6, 6, 1, True)}
