@@ -49,6 +49,9 @@ class Files:
         finally:
             stream.close()
 
+    def _holds(self, name: str, data: bytes) -> bool:
+        return self._fs.getFileStatus(self._at(name)).getLen() == len(data) and self.read(name, most=len(data)) == data
+
     def publish(self, name: str, data: bytes) -> bool:
         """Writes the file aside and renames it. The same bytes again are a no-op (False); other bytes are refused."""
         if self.exists(name):
@@ -68,8 +71,8 @@ class Files:
 
     def replace(self, name: str, expected: bytes | None, data: bytes) -> None:
         """Compare-and-swap: the file must hold the expected bytes (None: must not be there)."""
-        found = self.read(name) if self.exists(name) else None
-        if found != expected:
+        there = self.exists(name)
+        if there != (expected is not None) or (there and not self._holds(name, expected)):
             raise Stale(f"{name} has changed")
         aside = f".{name}.{uuid.uuid4().hex}"
         self._write(aside, data)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -83,9 +84,10 @@ def read_segments(segments: DataFrame, extents: bool = False) -> DataFrame:
 class Journal:
     """Frames of many devices in a folder. The frontier file is the only authority on what is committed.
 
-    ``append`` writes the frames of a batch as one epoch and then swaps the frontier, which has the epochs and each
-    device's next sequence. An epoch whose swap did not happen was not appended: no read sees it, and ``recover``
-    retires it. A batch that does not go on where the frontier ends is refused.
+    ``append`` writes the frames of a batch as one epoch and then swaps the frontier, which has the epochs and names
+    the table of each device's next sequence; so it stays small, however many devices there are. An epoch whose swap
+    did not happen was not appended: no read sees it, and ``recover`` retires it. A batch that does not go on where
+    the frontier ends is refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -93,22 +95,47 @@ class Journal:
         self.files = Files(spark, f"{self.folder}/frontier")
 
     def frontier(self) -> dict:
-        return json.loads(self.files.read("current", most=64 << 20)) if self.files.exists("current") else {"epochs": [], "next": {}}
+        return json.loads(self.files.read("current", most=64 << 20)) if self.files.exists("current") else {"epochs": [], "next": None}
+
+    def next(self) -> DataFrame:
+        """(device, next) of each device that has committed frames."""
+        return self._next(self.frontier()["next"])
+
+    def _next(self, name: str | None) -> DataFrame:
+        schema = "device long, next long"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/next/{name}") if name else self.spark.createDataFrame([], schema)
+
+    def _go_on(self, frames: DataFrame, before: str | None) -> str:
+        """Writes the table of next sequences after these frames; its name. The devices are compared by Spark, and the driver gets the first that is refused."""
+        name = uuid.uuid4().hex
+        path = f"{self.folder}/next/{name}"
+        sequence, expected = F.col("sequence").cast("long"), F.coalesce("next", F.lit(0))
+        told = frames.groupBy(F.col("device").cast("long").alias("device")).agg(F.min(sequence).alias("low"), F.max(sequence).alias("high"), F.count_distinct(sequence).alias("n"), F.count("*").alias("rows"))
+        good = (F.col("low") == expected) & (F.col("n") == F.col("rows")) & (F.col("high") - F.col("low") + 1 == F.col("n")) & F.col("device").isNotNull()
+        problem = F.format_string("device %s expects %s, got %s to %s in %s frames", "device", expected, "low", "high", "rows")
+        both = told.join(self._next(before).hint("merge"), "device", "full_outer")
+        both.select("device", F.coalesce(F.col("high") + 1, "next").alias("next"), F.when(F.col("rows").isNotNull() & ~F.coalesce(good, F.lit(False)), problem).alias("problem")).write.parquet(path)
+        refused = self.spark.read.schema("device long, problem string").parquet(path).where("problem is not null").agg(F.min_by("problem", "device").alias("first"), F.min("problem").alias("any")).first()
+        if refused["any"]:
+            self._delete(name)
+            raise AcceptanceOrder(refused["first"] or refused["any"])
+        return name
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/next/{name}")
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def append(self, frames: DataFrame) -> int:
         """Appends frames (device, sequence, kind, payload); the epoch they are in."""
         before = self.frontier()
-        told = frames.groupBy("device").agg(F.min("sequence").alias("low"), F.max("sequence").alias("high"), F.count_distinct("sequence").alias("n"), F.count("*").alias("rows")).collect()  # one row a device
-        for r in told:
-            expected = before["next"].get(str(r["device"]), 0)
-            if r["low"] != expected or r["n"] != r["rows"] or r["high"] - r["low"] + 1 != r["n"]:
-                raise AcceptanceOrder(f"device {r['device']} expects {expected}, got {r['low']} to {r['high']} in {r['rows']} frames")
+        after = self._go_on(frames, before["next"])
         epoch = max(before["epochs"], default=-1) + 1
         path = f"{self.folder}/epochs/{epoch}"
         frames.select("device", "sequence", frame(F.col("device"), F.col("sequence"), F.col("kind"), F.col("payload")).alias("frame")).write.mode("overwrite").parquet(path)
-        after = {"epochs": [*before["epochs"], epoch], "next": before["next"] | {str(r["device"]): r["high"] + 1 for r in told}}
-        expected = self.files.read("current", most=64 << 20) if before["epochs"] else None
-        self.files.replace("current", expected, json.dumps(after, sort_keys=True).encode())
+        expected = json.dumps(before, sort_keys=True).encode() if before["epochs"] else None
+        self.files.replace("current", expected, json.dumps({"epochs": [*before["epochs"], epoch], "next": after}, sort_keys=True).encode())
+        if before["next"]:
+            self._delete(before["next"])
         return epoch
 
     def read(self) -> DataFrame:

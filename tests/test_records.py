@@ -143,6 +143,31 @@ def test_journal_is_read_up_to_its_frontier(spark):
     assert [(r["device"], r["sequence"]) for r in held.replay().collect()] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
 
 
+def test_journal_of_many_devices_keeps_a_small_frontier(spark):
+    """The frontier held each device's next sequence: 1 MiB at 80,000 devices, which the next append refused to read."""
+    held = journal.Journal(spark, stage_folder(spark))
+    frames = lambda s, n=100_000: spark.range(n).select(F.col("id").alias("device"), F.lit(s).cast("long").alias("sequence"), F.lit(1).alias("kind"), F.lit("p").alias("payload"))
+    assert held.next().isEmpty() and (held.append(frames(0)), held.append(frames(1, 90_000))) == (0, 1)
+    assert held.read().count() == 190_000 and {(r["next"], r["count"]) for r in held.next().groupBy("next").count().collect()} == {(1, 10_000), (2, 90_000)}
+    assert len(held.files.read("current")) < 200
+    with pytest.raises(limits.AcceptanceOrder, match="device 90000 expects 1, got 2 to 2 in 1 frames"):
+        held.append(frames(2))
+    with pytest.raises(limits.AcceptanceOrder):
+        held.append(frames(0, 1).withColumn("device", F.lit(None).cast("long")))  # its frame could not be read
+    assert held.frontier()["epochs"] == [0, 1] and held.append(frames(2, 5)) == 2 and held.read().count() == 190_005
+
+
+def test_large_files_are_replaced(spark):
+    held = files.Files(spark, stage_folder(spark))
+    large = bytes(3 << 20)
+    held.replace("head", None, large)
+    for expected in (None, b"1", large[1:], large[1:] + b"1"):
+        with pytest.raises(limits.Stale):
+            held.replace("head", expected, b"2")
+    held.replace("head", large, b"2")
+    assert held.read("head") == b"2"
+
+
 def test_files_are_exact(spark):
     held = files.Files(spark, stage_folder(spark))
     assert held.publish("a", b"one") and not held.publish("a", b"one") and held.publish_all({"a": b"one", "b": b"two"}) == 1
