@@ -12,8 +12,9 @@ the bucket's largest component is compared with all texts of other components, s
 is lost. Buckets are cut into blocks for that, and each pair comes out of one bucket only. In all steps parity
 marks rule out, without loss, most pairs that are no links before their shingles are fetched.
 
-All joins are sort-merge joins by hint. Spark takes an exploded array for one row and a table for the size of its
-compressed file, so by itself it would send tables to the driver that are many times what it allows for.
+Joins are sort-merge joins by hint, or broadcast tables that were counted and have few rows. Spark takes an exploded
+array for one row and a table for the size of its compressed file, so by itself it would send tables to the driver
+that are many times what it allows for.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.llm import shared
 from factweave.llm.bpe import slices
-from factweave.llm.shared import components, for_python, scratch, stored
+from factweave.llm.shared import components, for_python, scratch, stored, told_apart
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -36,8 +38,6 @@ BANDS, ROWS = 24, 5
 BLOCK = 1024
 #: 64-bit words of a parity mark.
 MARK = 16
-#: Pairs whose ends alone are sent to the shingles, which then need not all be dealt out.
-FEW_PAIRS = 16_384
 _MARK_TYPE = f"struct<n: long, total: long, {', '.join(f'm{i}: long' for i in range(MARK))}>"
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, kind: str) ->
             near = [similarity(unpacked(*row[:2]), unpacked(*row[2:])) >= threshold for row in zip(*[batch.column(c).to_pylist() for c in range(2, 6)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
 
-    if pairs.count() <= FEW_PAIRS:
+    if pairs.count() <= shared.FEW_ROWS:  # then not all shingles need be dealt out
         ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
         sets = sets.join(F.broadcast(ends), "doc", "left_semi")
     left = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
@@ -221,9 +221,9 @@ def _ordered(one: Column, two: Column) -> list[Column]:
 
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries with their component, of buckets that hold more than one; a text without links is its own component."""
-    now = entries.join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("label"))
+    now = entries.join(told_apart(labels.withColumnRenamed("node", "doc")), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("label"))
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return stored(now.join(stored(mixed, "near-mixed").hint("merge"), "key"), "near-apart")
+    return stored(now.join(told_apart(stored(mixed, "near-mixed")), "key"), "near-apart")
 
 
 def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
@@ -234,7 +234,7 @@ def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFram
     """
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
     sizes = stored(sizes.select("key", F.col("top.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rows"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("columns")), "near-sizes")
-    known = now.join(sizes.hint("merge"), "key").join(marks.hint("merge"), "doc")
+    known = now.join(told_apart(sizes), "key").join(marks.hint("merge"), "doc")
     draw = F.xxhash64("doc")
     row, column = F.pmod(draw, "rows").cast("int"), F.pmod(draw, "columns").cast("int")
     one = known.where("label <> major").select("key", column.alias("column"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.col("doc").alias("x"), F.col("label").alias("label_x"), F.col("mark").alias("mark_x"), F.col("bands").alias("bands_x"))
@@ -249,8 +249,8 @@ def _block_pairs(now: DataFrame, marks: DataFrame, threshold: float) -> DataFram
 def _labels(texts: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(node, root) for the texts that have a link; docs: (doc, text), for the shingles of the texts in shared buckets."""
     spread = texts.select("doc", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    entries = stored(spread.join(shared.hint("merge"), "key"), "near-buckets")
+    met_in = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stored(spread.join(met_in.hint("merge"), "key"), "near-buckets")
     weight = stored(entries.groupBy("doc").agg(F.sum("n").alias("weight")), "near-weights")
     entries = stored(entries.join(weight.hint("merge"), "doc").select("key", "doc", "weight"), "near-entries")
     marks = stored(texts.join(weight.select("doc").hint("merge"), "doc", "left_semi").select("doc", "mark", "bands"), "near-marks")
@@ -269,7 +269,7 @@ def _labels(texts: DataFrame, docs: DataFrame, threshold: float, kind: str) -> D
 
     now = _apart(entries, labels)
     tops = stored(heads.select("key", F.col("top.doc").alias("doc")).join(now.hint("merge"), ["key", "doc"]).select("key", F.col("doc").alias("head"), F.col("label").alias("head_label")), "near-tops")
-    other = now.join(tops.hint("merge"), "key").where("label <> head_label").select(*_ordered(F.col("doc"), F.col("head"))).distinct()
+    other = now.join(told_apart(tops), "key").where("label <> head_label").select(*_ordered(F.col("doc"), F.col("head"))).distinct()
     labels = joined(_plausible(other, marks, threshold), labels)
     return joined(_block_pairs(_apart(now.select("key", "doc"), labels), marks, threshold), labels)
 
@@ -291,7 +291,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
         labels = _labels(texts, docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text")), threshold, kind)
         known = texts.select("same", "doc", "copies").join(labels.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").where("copies > 1 or root is not null")
         known = stored(known.select("same", F.coalesce("root", "doc").alias("class")), "near-classes")
-        out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(known.hint("merge"), "same", "left")
+        out = sketches.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(told_apart(known), "same", "left")
         found = F.coalesce("class", "doc_id")
         return result(out.select(F.col("doc_id").alias(id_column), found.alias("class_id"), F.col("doc_id").eqNullSafe(found).alias("kept")), "near-result")
 

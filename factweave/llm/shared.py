@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Long texts make 10,000 rows, Spark's default, too much for a worker.
 ARROW_ROWS = 512
+#: Rows of a table that joins send to all executors; larger ones meet in sort-merge joins.
+FEW_ROWS = 16_384
 
 
 @functools.cache
@@ -90,13 +92,18 @@ def row_remainder(id_column: str, modulus: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
+def told_apart(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with the hint of how to join it, by its number of rows: Spark's own estimate is that of its compressed file, and of one element for an array."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= FEW_ROWS else df.hint("merge")
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the component's smallest node.
 
     Alternating large-star and small-star rounds on distinct edges: each node's neighbours are re-hung under
     the smallest of them, which needs logarithmically many rounds and at most one row for each edge. A hub's
-    rows meet only in a sort-merge join, whose hot side Spark splits, and in pre-aggregated minima. The joins are
-    so by hint, as the files' compressed size says little of what a broadcast would take in the driver.
+    rows meet only in a sort-merge join, whose hot side Spark splits, and in pre-aggregated minima. Where few edges
+    are left, the minima are broadcast.
     Null ends and loops are ignored; no edges give no rows.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -107,10 +114,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
             break
         both = state.union(state.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(told_apart(low, mark[0]), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(told_apart(low, mark[0]), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(small.union(low.select("a", "m")).distinct(), name)
         now = _mark(after)
         dropped(state)
