@@ -3,11 +3,13 @@
 import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import encoding, limits
 from factweave.operators import authenticated, causality, compaction, search, snapshot
+from factweave.plans import catalog, records  # noqa: F401  records adds its queries to the catalog
 from factweave.sources import files, journal, schemas
 from factweave.sources.staging import stage_folder
 
@@ -157,6 +159,19 @@ def test_journal_of_many_devices_keeps_a_small_frontier(spark):
     assert held.frontier()["epochs"] == [0, 1] and held.append(frames(2, 5)) == 2 and held.read().count() == 190_005
 
 
+def test_journal_replay_has_every_frame(spark, tmp_path):
+    """The query and its SQL kept the first six frames of each device."""
+    devices = [7, 8, 9, *[7] * 19, *[8] * 5, *[9] * 6]  # of 20, 6 and 7 frames
+    events = spark.createDataFrame([(i, d, f"p{i}") for i, d in enumerate(devices)], "event_id long, user_id long, props string").withColumn("event_type", F.lit("view"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    expected = sorted((d, devices[:i].count(d), f"p{i}") for i, d in enumerate(devices))
+    found = catalog.QUERIES["q79_journal_replay"](spark, str(tmp_path))
+    assert sorted((r["device"], r["sequence"], r["payload"]) for r in found.collect()) == expected
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        assert sorted(con.sql(catalog.ORACLE_SQL["q79_journal_replay"]).fetchall()) == expected
+
+
 def test_large_files_are_replaced(spark):
     held = files.Files(spark, stage_folder(spark))
     large = bytes(3 << 20)
